@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from rillet.llm.langid import op1_language_spans
 from rillet.llm.quality import op9_quality_pu
 
 QUERIES = {
+    "op1_language_spans": op1_language_spans,
     "op9_quality_pu": op9_quality_pu,
 }
 ORACLES: dict[str, str] = {}
