@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from rillet.llm.ann import op2_block_knn
 from rillet.llm.langid import op1_language_spans
 from rillet.llm.quality import op9_quality_pu
 from rillet.llm.simhash import op3_simhash_anchors
 
 QUERIES = {
     "op1_language_spans": op1_language_spans,
+    "op2_block_knn": op2_block_knn,
     "op3_simhash_anchors": op3_simhash_anchors,
     "op9_quality_pu": op9_quality_pu,
 }
