@@ -5,6 +5,7 @@ from __future__ import annotations
 from rillet.llm.ann import op2_block_knn
 from rillet.llm.decontaminate import op4_suffix_automaton
 from rillet.llm.langid import op1_language_spans
+from rillet.llm.packing import op7_best_two_fit
 from rillet.llm.quality import op9_quality_pu
 from rillet.llm.simhash import op3_simhash_anchors
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_block_knn": op2_block_knn,
     "op3_simhash_anchors": op3_simhash_anchors,
     "op4_suffix_automaton": op4_suffix_automaton,
+    "op7_best_two_fit": op7_best_two_fit,
     "op9_quality_pu": op9_quality_pu,
 }
 ORACLES: dict[str, str] = {}
