@@ -7,6 +7,7 @@ from rillet.llm.decontaminate import op4_suffix_automaton
 from rillet.llm.langid import op1_language_spans
 from rillet.llm.packing import op7_best_two_fit
 from rillet.llm.quality import op9_quality_pu
+from rillet.llm.sharding import op8_flow_reshard
 from rillet.llm.simhash import op3_simhash_anchors
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_simhash_anchors": op3_simhash_anchors,
     "op4_suffix_automaton": op4_suffix_automaton,
     "op7_best_two_fit": op7_best_two_fit,
+    "op8_flow_reshard": op8_flow_reshard,
     "op9_quality_pu": op9_quality_pu,
 }
 ORACLES: dict[str, str] = {}
