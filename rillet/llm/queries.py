@@ -5,6 +5,7 @@ from __future__ import annotations
 from rillet.llm.ann import op2_block_knn
 from rillet.llm.decontaminate import op4_suffix_automaton
 from rillet.llm.langid import op1_language_spans
+from rillet.llm.lines import op10_deletion_join
 from rillet.llm.packing import op7_best_two_fit
 from rillet.llm.quality import op9_quality_pu
 from rillet.llm.sharding import op8_flow_reshard
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_best_two_fit": op7_best_two_fit,
     "op8_flow_reshard": op8_flow_reshard,
     "op9_quality_pu": op9_quality_pu,
+    "op10_deletion_join": op10_deletion_join,
 }
 ORACLES: dict[str, str] = {}
