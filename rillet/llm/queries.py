@@ -10,12 +10,14 @@ from rillet.llm.packing import op7_best_two_fit
 from rillet.llm.quality import op9_quality_pu
 from rillet.llm.sharding import op8_flow_reshard
 from rillet.llm.simhash import op3_simhash_anchors
+from rillet.llm.substrings import op6_suffix_sort
 
 QUERIES = {
     "op1_language_spans": op1_language_spans,
     "op2_block_knn": op2_block_knn,
     "op3_simhash_anchors": op3_simhash_anchors,
     "op4_suffix_automaton": op4_suffix_automaton,
+    "op6_suffix_sort": op6_suffix_sort,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_flow_reshard": op8_flow_reshard,
     "op9_quality_pu": op9_quality_pu,
