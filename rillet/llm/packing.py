@@ -13,9 +13,10 @@ way to the two unpacked pieces whose sum fits the expanded gap most tightly, if
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,10 +29,11 @@ from rillet.llm.common import column_of, read, small_batches, written
 SEQUENCE = 2048
 SEPARATOR = 0
 BUCKET_ROWS = 8192
-#: Words in each of the two generations of a worker's cache.
-CACHE_WORDS = 200_000
-
-_PLAIN = re.compile(r"([A-Za-z]+)([.,!?;:]?)")
+#: Words that a worker keeps; beyond it the cache starts anew.
+CACHE_WORDS = 500_000
+#: Words encoded at a time, and the marks that may end one of them.
+TOGETHER = 64
+MARKS = (".", ",", "!", "?", ";", ":")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,12 +42,27 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Numbers words in order of first sight and keeps the new ones apart."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordEncoder:
     """Token ids of texts, equal to encoding each text whole.
 
     Blanks and line ends are white space to the vocabulary, which splits there and drops them; so the
-    ids of a text are those of its words in turn.  A plain ASCII word with a trailing mark is in turn
-    its lower-cased letters and the mark.
+    ids of a text are those of its words in turn, and a word is encoded once.  Words of letters alone,
+    or with one mark behind, are one or two units to the vocabulary; they are encoded many at a time
+    and told apart by the tokens that end a unit.  Should their number not add up, and for all other
+    words, each is encoded by itself.
     """
 
     def __init__(self, path: str, separator: int | None = SEPARATOR) -> None:
@@ -53,55 +70,77 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.separator = Tokenizer.from_file(path), separator
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _raw(self, words: list[str]) -> None:
-        """Encode words that are in neither generation."""
-        todo = [w for w in words if w not in self.young and w not in self.old]
-        for w, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            self.young[w] = np.array(e.ids, dtype=np.uint32)
-
-    def _get(self, word: str) -> np.ndarray:
-        found = self.young.get(word)
-        if found is None:
-            found = self.young[word] = self.old[word]
-        return found
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of distinct words."""
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        parts = []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            parts.append((m[1].lower(), m[2]) if m else (w, ""))
-        self._raw(list({p for pair in parts for p in pair if p}))
-        get = self._get
-        return [np.concatenate([get(a), get(b)]) if b else get(a) for a, b in parts]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._reset()
+
+    def _reset(self) -> None:
+        self.numbers = _Numbers()
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+
+    @staticmethod
+    def _units(word: str) -> int:
+        """1 for letters alone, 2 for letters and a mark, 0 for any other word."""
+        body = word[:-1] if word[-1:] in MARKS and len(word) > 1 else word
+        if not body.isalpha() or not (body.isascii() or (body.lower().isalpha() and unicodedata.is_normalized("NFC", body))):
+            return 0
+        return 1 + (body is not word)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode distinct new words and append them to the pool."""
+        units = np.array([self._units(w) for w in words], dtype=np.int64)
+        plain = np.flatnonzero(units)
+        size = np.zeros(len(words), dtype=np.int64)
+        first = np.zeros(len(words), dtype=np.int64)
+        flat = np.zeros(0, np.uint32)
+        if len(plain):
+            joined = [words[i] for i in plain.tolist()]
+            flat, _ = self._flat([" ".join(joined[k : k + TOGETHER]) for k in range(0, len(joined), TOGETHER)])
+            stop = np.flatnonzero(self.ends[flat]) + 1
+            last = np.cumsum(units[plain])
+            if len(stop) == last[-1] and stop[-1] == len(flat):
+                cut = stop[last - 1]
+                size[plain] = np.diff(np.concatenate([[0], cut]))
+                first[plain] = cut - size[plain]
+            else:
+                units[:], flat = 0, np.zeros(0, np.uint32)
+        odd = np.flatnonzero(units == 0)
+        if len(odd):
+            more, n = self._flat([words[i] for i in odd.tolist()])
+            size[odd] = n
+            first[odd] = len(flat) + np.cumsum(n) - n
+            flat = np.concatenate([flat, more])
+        self.first = np.concatenate([self.first, first + len(self.pool)])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, flat])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, the separator after each text, and how many each text has."""
-        seen: dict[str, int] = {}
-        number = seen.setdefault
-        order: list[int] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            words = [w for w in t.replace("\n", " ").split(" ") if w] if t else []
-            counts[i] = len(words)
-            order += [number(w, len(seen)) for w in words]
-        coded = [*self._encode(list(seen)), np.array([] if self.separator is None else [self.separator], dtype=np.uint32)]
-        size = np.array([len(x) for x in coded], dtype=np.int64)
-        flat = np.concatenate(coded)
-        first = np.cumsum(size) - size
-        # The separator is the last "word" and stands after each text's own.
+        if len(self.numbers) > CACHE_WORDS:
+            self._reset()
+        words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        counts = np.array([len(w) for w in words], dtype=np.int64)
+        order = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(counts.sum()))
+        if self.numbers.fresh:
+            self._learn(self.numbers.fresh)
+            self.numbers.fresh = []
+        tail = [] if self.separator is None else [self.separator]
+        pool = np.concatenate([self.pool, np.array(tail, dtype=np.uint32)])
+        # The separator is one more word, number -1, and stands after each text's own.
         ends = np.cumsum(counts)
-        words = np.insert(np.array(order, dtype=np.int64), ends, len(coded) - 1)
-        n = size[words]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[words], n)
-        totals = np.concatenate([[0], np.cumsum(n)])
-        stops = totals[ends + np.arange(1, len(texts) + 1)]
-        return flat[at], np.diff(np.concatenate([[0], stops]))
+        order = np.insert(order, ends, -1)
+        size, first = np.append(self.size, len(tail)), np.append(self.first, len(self.pool))
+        n = size[order]
+        total = np.cumsum(n)
+        at = np.arange(total[-1] if len(total) else 0) + np.repeat(first[order] - total + n, n)
+        stops = total[ends + np.arange(len(texts))]
+        return pool[at], np.diff(np.concatenate([[0], stops]))
 
 
 def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, sequence: int = SEQUENCE, ids: bool = False) -> DataFrame:
