@@ -11,8 +11,9 @@ from the back behind it; so all variants of a line cost its length.  All lines o
 the bound of each other, so each meets the key's earliest line only, and no pairs are formed.  That
 link is then verified on the words.
 
-Variants are made only for lines that share a half with another line: one edit leaves the first or the
-second half of the shorter line whole, so a line without such a partner has no match.
+Variants are made only for lines that share a half with another line, and only in the other half: one
+edit leaves the first or the second half of the shorter line whole, so a line without such a partner
+has no match, and one that shares its first half can differ behind it only.
 """
 
 from __future__ import annotations
@@ -59,15 +60,31 @@ def _sums(hashes: Column) -> Column:
     return F.aggregate(hashes, F.array(F.lit(0).cast("bigint")), lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1) + h)))
 
 
+#: What a shared half asks of a line: bits 0, 1 (first, second half shared with a line of its length),
+#: 2, 3 (with a longer line), 4, 5 (as the longer one, with a shorter line).
+def _asked(bits: Column) -> list[Column]:
+    return [bits.bitwiseAND(F.lit(1 << k)) != 0 for k in range(6)]
+
+
+def _span(want: Column, first: Column, last: Column) -> Column:
+    """first .. last, nothing unless wanted."""
+    none = F.slice(F.sequence(F.lit(0), F.lit(0)), 1, 0)
+    return F.when(want & (first <= last), F.sequence(first, F.greatest(first, last))).otherwise(none)
+
+
 def _variants(lines: DataFrame) -> DataFrame:
-    """key of every variant of each line (words, w): a deleted word at each place, and each gap."""
+    """key of each variant that a line (words, w, bits) may share: words deleted, and gaps, in the half that is not shared."""
     front = F.transform("words", lambda x, i: F.xxhash64(x, i).bitwiseAND(F.lit(MASK)))
     back = F.transform(F.reverse("words"), lambda x, i: F.xxhash64(x, i, F.lit(1)).bitwiseAND(F.lit(MASK)))
     made = lines.withColumn("_f", _sums(front)).withColumn("_b", _sums(back))
     key = lambda i, rest: F.xxhash64(i, rest, F.element_at("_f", i + 1), F.element_at("_b", rest + 1))
-    gone = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda i: key(i, F.col("w") - 1 - i))
-    gaps = F.transform(F.sequence(F.lit(0), F.col("w")), lambda i: key(i, F.col("w") - i))
-    return made.select(*LINE, "first", F.explode(F.concat(gone, gaps)).alias("key"))
+    w, zero = F.col("w"), F.lit(0)
+    p, q = F.floor(w / 2).cast("int"), F.floor((w - 1) / 2).cast("int")
+    same_1, same_2, short_1, short_2, long_1, long_2 = _asked(F.col("bits"))
+    deleted = F.array_union(F.array_union(_span(same_1, p, w - 1), _span(same_2, zero, p - 1)), F.array_union(_span(long_1, q, w - 1), _span(long_2, zero, q)))
+    gaps = F.array_union(_span(short_1, p, w), _span(short_2, zero, p))
+    keys = F.concat(F.transform(deleted, lambda i: key(i, w - 1 - i)), F.transform(gaps, lambda i: key(i, w - i)))
+    return made.select(*LINE, "first", F.explode(keys).alias("key"))
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -91,18 +108,23 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     keyed = every.select("doc_id", "th", "line_no", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit("line"), joined).alias("h2"), "w", _half_keys(F.col("words"), F.col("w")).alias("halves"))
     seen = written(keyed, "lines")
     distinct = written(seen.groupBy(*LINE, "halves").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first")), "lines-distinct")
-    halves = distinct.select(F.explode("halves").alias("half"), *LINE)
-    shared = halves.groupBy("half").agg(F.min("h1").alias("_a"), F.max("h1").alias("_b")).where("_a <> _b").select("half")
-    partnered = halves.join(shared, "half", "left_semi").select(*LINE).distinct()
-    chosen = written(distinct.join(partnered, LINE, "left_semi").select(*LINE, "first"), "lines-partnered")
+    halves = distinct.select(F.posexplode("halves").alias("k", "half"), *LINE)
+    own = F.when(F.col("k") < 2, F.col("h1"))
+    shared = halves.groupBy("half").agg(F.min(own).alias("_a"), F.max(own).alias("_b"), F.max("k").alias("_k")).where("_a is not null and (_a <> _b or _k > 1)")
+    bit = F.col("k").cast("int")
+    same = F.when((bit < 2) & (F.col("_a") != F.col("_b")), F.pow(F.lit(2), bit).cast("int")).otherwise(0)
+    cross = F.when(F.col("_k") > 1, F.pow(F.lit(2), bit + 2).cast("int")).otherwise(0)
+    asked = halves.join(shared, "half").select(*LINE, same.bitwiseOR(cross).alias("bits")).where("bits <> 0")
+    partnered = asked.groupBy(*LINE).agg(F.bit_or("bits").alias("bits"))
+    chosen = written(distinct.join(partnered, LINE).select(*LINE, "first", "bits"), "lines-partnered")
     free_shuffles(spark)
 
     # The words of those lines, from the document of their first occurrence.
-    wanted = chosen.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct(F.col("first.line_no").alias("line_no"), *LINE).alias("at")).groupBy("doc_id", "th").agg(F.collect_list("at").alias("at"))
+    wanted = chosen.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct(F.col("first.line_no").alias("line_no"), *LINE, "bits").alias("at")).groupBy("doc_id", "th").agg(F.collect_list("at").alias("at"))
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     found = source.join(wanted, ["doc_id", "th"])
     lines = found.withColumn("text", F.split("text", "\n")).select("doc_id", "th", "text", F.explode("at").alias("at"))
-    lines = lines.select("at.h1", "at.h2", F.struct("doc_id", "th", F.col("at.line_no").alias("line_no")).alias("first"), _words(F.get("text", "at.line_no")).alias("words"))
+    lines = lines.select("at.h1", "at.h2", "at.bits", F.struct("doc_id", "th", F.col("at.line_no").alias("line_no")).alias("first"), _words(F.get("text", "at.line_no")).alias("words"))
     lines = written(lines.withColumn("w", F.size("words")), "lines-words")
     free_shuffles(spark)
 
