@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from rillet.llm.common import BATCH_BYTES, column_of, free_shuffles, read, shared_dir, small_batches, written
+from rillet.llm.common import column_of, drop_written, free_shuffles, read, shared_dir, small_batches, written
 
 LENGTH = 400
 GRAM = 16
-HOT = 128
+HOT = 512
+#: Bytes of text, or of contexts, that a worker handles at once; its arrays take about a hundred times that.
+ARRAY_BYTES = 1 << 20
 POS = np.uint64((1 << 31) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 KEY = ["th1", "th2"]
@@ -100,7 +102,7 @@ def _bytes_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, "text", ARRAY_BYTES):
             owner, place, lo, hi, ah, c1, c2 = anchors(_bytes_of(batch), length)
             key = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
@@ -234,7 +236,7 @@ def _compare(length: int):
         size = 0
         for batch in batches:
             for row in zip(*(column_of(batch, c).to_pylist() for c in [*CONTEXT, "lo", "hi", "context"]), strict=True):
-                if held and size > BATCH_BYTES and row[0] != held[-1][0]:
+                if held and size > ARRAY_BYTES and row[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
@@ -250,7 +252,7 @@ def _fetch(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*CONTEXT, "lo", "hi", "context"]
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, "text", ARRAY_BYTES):
             out: list[list] = [[] for _ in names]
             for raw, wanted in zip(_bytes_of(batch), column_of(batch, "wanted").to_pylist(), strict=True):
                 for x in wanted:
@@ -282,7 +284,7 @@ def _judge(length: int):
     """Lengths, spans and digest of each text, given the window starts to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, "text", ARRAY_BYTES):
             sizes, removed, spans, shas, cuts = [], [], [], [], []
             for raw, starts in zip(_bytes_of(batch), column_of(batch, "starts").to_pylist(), strict=True):
                 merged: list[list[int]] = []
@@ -329,6 +331,7 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
     rows = written(texts.select(*KEY, "text").mapInArrow(_anchor_rows(length), "ah bigint, c1 bigint, c2 bigint, th1 bigint, th2 bigint, place int, lo int, hi int"), "anchors")
     again = rows.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ah")
     shared = written(rows.join(again, "ah", "left_semi"), "anchors-shared")
+    drop_written(rows)
     free_shuffles(spark)
     contexts = written(shared.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.min(F.struct(*KEY, "place")).alias("at")), "contexts")
     kinds = contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -341,7 +344,10 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
     twice = windows.groupBy(*window).agg(F.min(mark).alias("_a"), F.max(mark).alias("_b")).where("_a <> _b").select(*window)
     warm = windows.join(twice, window, "left_semi").groupBy(*CONTEXT).agg(F.flatten(F.collect_list(F.array("o", "o"))).alias("offsets"))
     whole = contexts.where("n > 1").select(*CONTEXT, F.array("lo", "hi").alias("offsets"))
+    warm = written(warm, "fate-hot")
+    free_shuffles(spark)
     fate = written(whole.unionByName(cool).unionByName(warm), "fate")
+    drop_written(contexts)
     free_shuffles(spark)
 
     place = F.col("place")
