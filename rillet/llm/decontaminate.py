@@ -263,4 +263,18 @@ def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_hit") > 0).alias("contaminated"))
 
 
-__all__ = ["Automaton", "cut_words", "decontaminate", "find", "folded", "op4_suffix_automaton"]
+
+#: Windows as strings; a window's size is 10 or that of a shorter item.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1:i + n], ' ') AS t FROM (SELECT *, unnest(range(len(w) - n + 1)) AS i FROM sized)),
+size AS (SELECT DISTINCT n FROM win),
+spot AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + n], ' ') AS t FROM (SELECT d.doc_id, d.w, s.n, unnest(range(greatest(len(d.w) - s.n + 1, 0))) AS i FROM d, size s)),
+found AS (SELECT spot.doc_id, spot.n, spot.i, win.item_id FROM spot JOIN win ON spot.n = win.n AND spot.t = win.t),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(k.n_items, 0) AS n_items, sha256(coalesce(k.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN item k ON d.doc_id = k.doc_id
+"""

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillet.llm.common import free_shuffles, read, written
+from rillet.llm.common import drop_written, free_shuffles, read, written
 
 MIN_WORDS = 5
 #: Bits of a word's hash that enter a sum; sums of 2**20 words stay within 62 bits.
@@ -111,6 +111,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     halves = distinct.select(F.posexplode("halves").alias("k", "half"), *LINE)
     own = F.when(F.col("k") < 2, F.col("h1"))
     shared = halves.groupBy("half").agg(F.min(own).alias("_a"), F.max(own).alias("_b"), F.max("k").alias("_k")).where("_a is not null and (_a <> _b or _k > 1)")
+    shared = written(shared, "lines-shared")  # written before the join, so that Spark can split its hot keys
     bit = F.col("k").cast("int")
     same = F.when((bit < 2) & (F.col("_a") != F.col("_b")), F.pow(F.lit(2), bit).cast("int")).otherwise(0)
     cross = F.when(F.col("_k") > 1, F.pow(F.lit(2), bit + 2).cast("int")).otherwise(0)
@@ -130,13 +131,16 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     variants = _variants(lines)
     earliest = variants.groupBy("key").agg(F.min(F.struct("first", *LINE)).alias("to"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "to")
+    earliest = written(earliest, "lines-earliest")
     pairs = variants.join(earliest, "key").where("first > to.first").select(*LINE, F.col("to.h1").alias("e1"), F.col("to.h2").alias("e2")).distinct()
     other = lines.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("other"))
     near = pairs.join(lines.select(*LINE, "words"), LINE).join(other, ["e1", "e2"]).where(_within_one(F.col("words"), F.col("other"))).select(*LINE).distinct().withColumn("near", F.lit(True))
     near = written(near, "lines-near")
     free_shuffles(spark)
 
-    fate = distinct.select(*LINE, "first").join(near, LINE, "left")
+    fate = written(distinct.select(*LINE, "first").join(near, LINE, "left"), "lines-fate")
+    drop_written(distinct)
+    free_shuffles(spark)
     judged = seen.select("doc_id", "th", "line_no", *LINE).join(fate, LINE)
     out = judged.where(F.col("near").isNotNull() | (F.col("first") != F.struct("doc_id", "th", "line_no")))
     return out.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
@@ -159,5 +163,27 @@ def op10_deletion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = removed_lines(docs)
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint").alias("n_lines"))
     out = base.join(gone, ["doc_id", "th"], "left")
-    none = F.array().cast("array<int>")
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("removed", none).alias("removed_lines"))
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
+
+
+#: The same by strings in place of hashed sums: a variant is a place, the words before it and the words behind it.
+ORACLE = r"""
+WITH line AS (
+  SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+), split AS (
+  SELECT doc_id, line_no, list_filter(string_split(lower(regexp_replace(line, '[	
+]', ' ', 'g')), ' '), lambda w: w <> '') AS words FROM line
+), long AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS spot FROM split WHERE len(words) >= 5
+), kind AS (SELECT words, len(words) AS w, min(spot) AS first FROM long GROUP BY words
+), place AS (SELECT *, unnest(range(w + 1)) AS i FROM kind
+), variant AS (
+  SELECT words, first, i, array_to_string(words[1:i], ' ') AS f, array_to_string(words[i + 2:w], ' ') AS b FROM place WHERE i < w
+  UNION ALL SELECT words, first, i, array_to_string(words[1:i], ' '), array_to_string(words[i + 1:w], ' ') FROM place
+), least AS (SELECT i, f, b, min(first) AS least FROM variant GROUP BY i, f, b
+), near AS (SELECT DISTINCT v.words FROM variant v JOIN least m ON v.i = m.i AND v.f = m.f AND v.b = m.b WHERE v.first > m.least
+), gone AS (
+  SELECT l.doc_id, l.line_no FROM long l JOIN kind k ON l.words = k.words LEFT JOIN near n ON l.words = n.words WHERE n.words IS NOT NULL OR l.spot <> k.first
+), told AS (SELECT doc_id, count(*) AS n, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, coalesce(t.n, 0) AS n_removed, coalesce(t.removed, '') AS removed_lines
+FROM documents d LEFT JOIN told t ON d.doc_id = t.doc_id
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rillet.llm import ann, decontaminate, lines
 from rillet.llm.ann import op2_block_knn
 from rillet.llm.decontaminate import op4_suffix_automaton
 from rillet.llm.langid import op1_language_spans
@@ -25,4 +26,8 @@ QUERIES = {
     "op9_quality_pu": op9_quality_pu,
     "op10_deletion_join": op10_deletion_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_block_knn": ann.ORACLE,
+    "op4_suffix_automaton": decontaminate.ORACLE,
+    "op10_deletion_join": lines.ORACLE,
+}

@@ -329,7 +329,8 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
     spark = docs.sparkSession
     texts = distinct_texts(docs, text)
     rows = written(texts.select(*KEY, "text").mapInArrow(_anchor_rows(length), "ah bigint, c1 bigint, c2 bigint, th1 bigint, th2 bigint, place int, lo int, hi int"), "anchors")
-    again = rows.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ah")
+    # Aggregates are written before they are joined, so that Spark can split the joins' hot anchors.
+    again = written(rows.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ah"), "anchors-again")
     shared = written(rows.join(again, "ah", "left_semi"), "anchors-shared")
     drop_written(rows)
     free_shuffles(spark)

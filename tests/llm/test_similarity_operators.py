@@ -99,7 +99,7 @@ def test_neighbours_equal_brute_force(spark):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     y = x.astype(np.float64)
     for q in range(0, 300, 20):
-        s = (y * y[q]).sum(1)
+        s = sum(y[:, j] * y[q, j] for j in range(16))
         want = sorted((-s[i], i) for i in range(300) if i != q)[:20]
         assert got.pop(q) == [(i, -v) for v, i in want]
     assert got == {1120: [(1140, 11.0)], 1140: [(1120, 11.0)]}
