@@ -91,12 +91,13 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds
     correction asks.
     """
     both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    mean, scale = both.mean(0, dtype=np.float64), both.std(0, dtype=np.float64) + 1e-3
+    del both
+    p, u = ((x - mean.astype(np.float32)) / scale.astype(np.float32) for x in (positive, unlabelled))
     w, b = np.zeros(p.shape[1]), 0.0
     m, v = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
     for t in range(1, rounds + 1):
-        zp, zu = np.clip(p @ w + b, -30, 30), np.clip(u @ w + b, -30, 30)
+        zp, zu = (np.clip((x @ w.astype(np.float32)).astype(np.float64) + b, -30, 30) for x in (p, u))
         negative = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         up, down = -prior * (1 - sp) / len(p), -prior * sp / len(p)
@@ -105,7 +106,7 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds
             gp, gu = up + down, rest
         else:
             gp, gu = -down, -rest
-        grad = np.append(p.T @ gp + u.T @ gu + ridge * w, gp.sum() + gu.sum())
+        grad = np.append(gp.astype(np.float32) @ p + gu.astype(np.float32) @ u + ridge * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - float(step[-1])
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     rows = sample.select("label", "text").mapInArrow(_feature_rows, "label int, features binary").collect()
     if not rows:
         return QualityModel(np.zeros(N_FEATURE), 0.0, np.zeros(N_FEATURE), np.ones(N_FEATURE), 0.5)
-    x = np.stack([np.frombuffer(r["features"], dtype=np.float32) for r in rows]).astype(np.float64)
+    x = np.stack([np.frombuffer(r["features"], dtype=np.float32) for r in rows])
     known = np.array([r["label"] is not None for r in rows])
     y = np.array([r["label"] if r["label"] is not None else -1 for r in rows])
     counts = {r["label"]: r["n"] for r in judged.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -147,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     if not (y == 1).any() or (y == 1).all():
         return QualityModel(np.zeros(N_FEATURE), float(np.log(prior / (1 - prior))), np.zeros(N_FEATURE), np.ones(N_FEATURE), prior)
     # The unlabelled sample leaves out the labelled positives; they return in the share that makes it like the corpus.
+    del rows
     positive, rest = x[y == 1], x[y != 1]
+    del x
     w, b, mean, scale = fit_pu(positive, rest, prior_among(prior, known, y))
     return QualityModel(w, b, mean, scale, prior)
 
