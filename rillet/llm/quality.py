@@ -30,7 +30,7 @@ N_FEATURE = N_TRIGRAM + N_STAT
 
 
 def _classes() -> np.ndarray:
-    out = np.zeros(256, dtype=np.int64)
+    out = np.zeros(256, dtype=np.int32)
     out[97:123], out[65:91], out[48:58], out[[32, 9]], out[[10, 13]], out[128:] = 1, 2, 3, 4, 5, 7
     out[[ord(c) for c in ".,;:?'-"]] = 6
     return out
@@ -48,9 +48,9 @@ def features(texts: list[str | None]) -> np.ndarray:
     if len(data) >= 3:
         kind = CLASSES[data]
         code = kind[:-2] * (N_CLASS * N_CLASS) + kind[1:-1] * N_CLASS + kind[2:]
-        owner = np.repeat(np.arange(len(raw)), sizes)
+        owner = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
         inside = owner[:-2] == owner[2:]
-        counts = np.bincount((owner[:-2] * N_TRIGRAM + code)[inside], minlength=len(raw) * N_TRIGRAM).reshape(len(raw), N_TRIGRAM)
+        counts = np.bincount((owner[:-2].astype(np.int64) * N_TRIGRAM + code)[inside], minlength=len(raw) * N_TRIGRAM).reshape(len(raw), N_TRIGRAM)
         out[:, :N_TRIGRAM] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
     for i, text in enumerate(texts):
         words = text.split() if text else []
