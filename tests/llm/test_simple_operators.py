@@ -236,7 +236,9 @@ def test_resharding(spark, odd_docs, no_docs, sf, tmp_path):
         assert sorted(g.slot) == list(range(len(g)))
     loads = out.groupby("shard")["size"].sum()
     assert len(loads) == 24 and loads.max() - loads.min() <= out["size"].max()
-    assert out.assign(t=out.doc_id.map(texts)).groupby("t").shard.nunique().max() == 1
+    # Equal texts stay together, but for blocks of over half a shard.
+    groups = out.assign(t=out.doc_id.map(texts)).groupby("t").agg(total=("size", "sum"), shards=("shard", "nunique"))
+    assert groups[groups.total <= loads.mean() / 2].shards.max() == 1
     moved = out[out.shard != out.old_shard]["size"].sum()
     old = out.groupby("old_shard")["size"].sum()
     assert moved <= (old - loads.mean()).clip(lower=0).sum() + 24 * out["size"].max()
