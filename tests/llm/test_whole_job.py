@@ -2,7 +2,7 @@
 
 import random
 
-from rillet.llm import shingles
+from rillet.llm import passages, shingles
 
 
 def prose(seed, size=4000):
@@ -44,3 +44,18 @@ def test_near_duplicate_stage_finds_edited_copies(spark):
     kept = [x.doc_id for x in c.near_duplicate_stage(spark, docs, "").collect()]
     assert sorted(k for k in kept if k is not None) == sorted({find(d) for d in least}) and kept.count(None) == 1
     assert len(kept) < 0.6 * len(rows)
+
+
+def test_two_shared_passages_with_other_words_between(spark):
+    _, words = prose(22)
+    rows, want = [], {}
+    for gap in (40, 60, 100, 150):
+        head, foot = words(60), words(60)
+        for _ in range(2):
+            before = words(10 + len(rows))
+            want[len(rows)] = [(len(before), len(before) + 60), (len(before) + 60 + gap, len(before) + 120 + gap)]
+            rows.append((len(rows), " ".join(before + head + words(gap) + foot + words(20))))
+    got = {x.doc_id: [(p.first, p.last) for p in x.passages] for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == want.keys()
+    for d, spans in want.items():
+        assert len(got[d]) == 2 and all(abs(a - c) <= 2 and abs(b - e) <= 2 for (a, b), (c, e) in zip(got[d], spans, strict=True)), (d, got[d], spans)
