@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from rillet.llm import passages, shingles
 
 
@@ -59,3 +62,17 @@ def test_two_shared_passages_with_other_words_between(spark):
     assert got.keys() == want.keys()
     for d, spans in want.items():
         assert len(got[d]) == 2 and all(abs(a - c) <= 2 and abs(b - e) <= 2 for (a, b), (c, e) in zip(got[d], spans, strict=True)), (d, got[d], spans)
+
+
+@pytest.mark.parametrize("few", [8, 1])
+def test_passage_whose_seeds_lie_first_in_parts_of_it(spark, monkeypatch, few):
+    monkeypatch.setitem(passages.alignments.__kwdefaults__, "few_places", few)
+    _, words = prose(23, 20_000)
+    rows, pairs = [], {}
+    for _ in range(30):
+        p = words(80)
+        rows += [(len(rows) + i, " ".join(words(30) + part + words(30))) for i, part in enumerate((p[:45], p[35:]))]
+        pairs |= {len(rows): len(rows) + 1, len(rows) + 1: len(rows)}
+        rows += [(len(rows) + i, " ".join(words(25) + p + words(25))) for i in range(2)]
+    got = {x.doc_id: x.match_ids for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.transform("passages", lambda p: p["match_id"]).alias("match_ids")).collect()}
+    assert all(m in got[d] for d, m in pairs.items())
