@@ -76,3 +76,19 @@ def test_passage_whose_seeds_lie_first_in_parts_of_it(spark, monkeypatch, few):
         rows += [(len(rows) + i, " ".join(words(25) + p + words(25))) for i in range(2)]
     got = {x.doc_id: x.match_ids for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.transform("passages", lambda p: p["match_id"]).alias("match_ids")).collect()}
     assert all(m in got[d] for d, m in pairs.items())
+
+
+def test_recall_of_edited_passages(spark):
+    r, words = prose(24, 20_000)
+    rows, kinds = [], {}
+    for k in range(40):
+        for name, at in (("every 6th", range(k % 6, 60, 6)), ("every 8th", range(k % 8, 60, 8)), ("0.95", r.sample(range(60), 3)), ("0.9", r.sample(range(60), 6)), ("0.85", r.sample(range(60), 9))):
+            p = words(60)
+            q = [f"edit{r.randrange(10**6)}" if i in set(at) else w for i, w in enumerate(p)]
+            for text in (p, q):
+                kinds[len(rows)] = (name, k)
+                rows.append((len(rows), " ".join(words(25) + text + words(25))))
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(kinds[p.match_id] == kinds[x.doc_id] for x in out for p in x.passages)
+    share = {name: sum(bool(x.passages) for x in out if kinds[x.doc_id][0] == name) / 80 for name in ("every 6th", "every 8th", "0.95", "0.9", "0.85")}
+    assert share["every 6th"] >= 0.8 and share["every 8th"] == 1 and share["0.95"] == 1 and share["0.9"] >= 0.95 and share["0.85"] >= 0.85, share
