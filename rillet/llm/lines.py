@@ -1,7 +1,9 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame operations alone.
 
 A line is compared by its lower-cased words; the edit bound is one word inserted, deleted or replaced.
-Lines of fewer than `min_words` (5) words are left alone.  A line goes if the same words, or a line
+Lines of fewer than `min_words` (5) words are left alone, or with `short_lines` have an edit bound of 0:
+they go for equal words only, lines of one word (all of a script without blanks) included.  Lines
+without a word stay.  A line goes if the same words, or a line
 within the bound, come earlier in the corpus, in order of (doc_id, hash of the text, line number).
 
 Two lines are within the bound exactly if they share a variant: the words before a place and the words
@@ -97,15 +99,17 @@ def _within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (same(a, b) + same(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """doc_id, th and removed (line numbers from 0) of the documents that lose lines.
 
     Rows without an id or text take no part.  Repeated rows (same id and text) count as one.
     """
     spark = docs.sparkSession
-    every = split_lines(docs, doc_id, text).withColumn("w", F.size("words")).where(F.col("w") >= min_words)
+    every = split_lines(docs, doc_id, text).withColumn("w", F.size("words")).where(F.col("w") >= (1 if short_lines else min_words))
     joined = F.array_join("words", " ")
-    keyed = every.select("doc_id", "th", "line_no", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit("line"), joined).alias("h2"), "w", _half_keys(F.col("words"), F.col("w")).alias("halves"))
+    # A line without halves has no partner within an edit.
+    halves = F.when(F.col("w") >= min_words, _half_keys(F.col("words"), F.col("w"))).otherwise(F.array().cast("array<bigint>"))
+    keyed = every.select("doc_id", "th", "line_no", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit("line"), joined).alias("h2"), "w", halves.alias("halves"))
     seen = written(keyed, "lines")
     distinct = written(seen.groupBy(*LINE, "halves").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first")), "lines-distinct")
     halves = distinct.select(F.posexplode("halves").alias("k", "half"), *LINE)

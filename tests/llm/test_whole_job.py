@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillet.llm import passages, shingles
+from rillet.llm import lines, passages, shingles
 
 
 def prose(seed, size=4000):
@@ -92,3 +92,12 @@ def test_recall_of_edited_passages(spark):
     assert all(kinds[p.match_id] == kinds[x.doc_id] for x in out for p in x.passages)
     share = {name: sum(bool(x.passages) for x in out if kinds[x.doc_id][0] == name) / 80 for name in ("every 6th", "every 8th", "0.95", "0.9", "0.85")}
     assert share["every 6th"] >= 0.8 and share["every 8th"] == 1 and share["0.95"] == 1 and share["0.9"] >= 0.95 and share["0.85"] >= 0.85, share
+
+
+def test_line_stage_takes_short_and_unspaced_repeats(spark):
+    import corpus_pipeline as c
+
+    rows = [(1, "all rights reserved.\nyes\n\n一行没有空格的文字"), (2, "All  rights reserved.\nall rights kept\n\nyes"), (3, "一行没有空格的文字\n一行没有空格的文章\nyes")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.text for x in c.line_stage(spark, docs, "").collect()} == {1: rows[0][1], 2: "all rights kept\n", 3: "一行没有空格的文章"}
+    assert {x.doc_id: x.text for x in lines.dedup_lines(docs).collect()} == dict(rows)
