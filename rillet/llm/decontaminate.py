@@ -13,6 +13,7 @@ Documents are read once for each block of items, without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -217,16 +218,17 @@ def cut_words(text: str, runs: list[int]) -> str:
     return b"".join(parts).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, *, text: str = "text", min_span: int = 1, max_coverage: float = 0.5, rounds: int = 4, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, *, text: str = "text", min_span: int = 1, max_coverage: float = 0.5, **options) -> DataFrame:
     """docs without benchmark passages: hit runs of min_span words or more are cut from the text.
 
     A row whose hit words exceed max_coverage of its words is dropped whole.  Cutting can bring words
-    together that make a new window; so rows that were cut are searched again, `rounds` times at most.
+    together that make a new window; so rows that were cut are searched again until none is cut (each cut
+    shortens the text, so this ends).
     Rows without a hit are untouched, null texts included.
     """
     names, schema = docs.columns, docs.schema
     current = docs
-    for k in range(rounds):
+    for k in count():
         found = find(current, bench, text=text, **options)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +253,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, text: str = "text", min_
             clean = clean.unionByName(done.where("not _changed").select(*names))
         current = done.where("_changed").select(*names)
         if current.isEmpty():
-            return clean
-    return clean.unionByName(current)
+            break
+    return clean
 
 
 def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

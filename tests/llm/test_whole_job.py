@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillet.llm import lines, passages, shingles
+from rillet.llm import decontaminate, lines, passages, shingles
 
 
 def prose(seed, size=4000):
@@ -101,3 +101,14 @@ def test_line_stage_takes_short_and_unspaced_repeats(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id: x.text for x in c.line_stage(spark, docs, "").collect()} == {1: rows[0][1], 2: "all rights kept\n", 3: "一行没有空格的文章"}
     assert {x.doc_id: x.text for x in lines.dedup_lines(docs).collect()} == dict(rows)
+
+
+def test_decontamination_goes_on_until_nothing_is_cut(spark):
+    depth = 7
+    text = [f"w{i}" for i in range(10)]
+    for _ in range(depth):  # Each cut of the inner window brings the outer one together.
+        text = [f"w{i}" for i in range(5)] + text + [f"w{i}" for i in range(5, 10)]
+    docs = spark.createDataFrame([(1, " ".join(text + [f"own{i}" for i in range(200)]))], "doc_id long, text string")
+    bench = spark.createDataFrame([("b", " ".join(f"w{i}" for i in range(10)))], "item_id string, text string")
+    (row,) = decontaminate.decontaminate(docs, bench).collect()
+    assert row.text.split() == [f"own{i}" for i in range(200)]
