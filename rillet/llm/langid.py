@@ -133,7 +133,7 @@ class LanguageModel:
             cache[:] = [np.concatenate([cache[0], fresh[0]]), np.concatenate([cache[1], fresh[1]])] if cache else list(fresh)
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         if not len(ids):
-            return [np.zeros(0, np.int8)] * len(texts), [np.zeros(0, np.int64)] * len(texts)
+            return [np.zeros(0, np.int16)] * len(texts), [np.zeros(0, np.int64)] * len(texts)
         scores, letters = cache
         real = letters[ids] > 0
         owner = np.repeat(np.arange(len(texts)), lengths)[real]
@@ -156,7 +156,7 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, lengths: np.ndarray, switch: fl
     starts, sizes = starts[order], lengths[order]
     active = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")
     stay = np.empty((len(ids), n_lang), dtype=bool)
-    best = np.zeros(len(ids), dtype=np.int8)
+    best = np.zeros(len(ids), dtype=np.int16)
     v = np.zeros((len(sizes), n_lang), dtype=np.float32)
     for t, a in enumerate(active):
         at = starts[:a] + t
@@ -170,7 +170,7 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, lengths: np.ndarray, switch: fl
         best[at] = prev.argmax(1)
         v[:a] = s + np.where(keep, prev, top)
         v[:a] -= v[:a].max(1, keepdims=True)
-    path = np.zeros(len(ids), dtype=np.int8)
+    path = np.zeros(len(ids), dtype=np.int16)
     cur = v.argmax(1)
     for t in range(len(active) - 1, -1, -1):
         a = active[t]
@@ -248,7 +248,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", t
             if m.langs:
                 paths, letters = m.label(texts, seen, cache)
             else:
-                paths, letters = [np.zeros(0, np.int8)] * len(texts), [np.zeros(0, np.int64)] * len(texts)
+                paths, letters = [np.zeros(0, np.int16)] * len(texts), [np.zeros(0, np.int64)] * len(texts)
             langs, scores, spans = [], [], []
             for p, w in zip(paths, letters, strict=True):
                 if not len(p):

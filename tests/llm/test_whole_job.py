@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillet.llm import decontaminate, lines, passages, shingles
+from rillet.llm import decontaminate, langid, lines, passages, shingles
 
 
 def prose(seed, size=4000):
@@ -112,3 +113,10 @@ def test_decontamination_goes_on_until_nothing_is_cut(spark):
     bench = spark.createDataFrame([("b", " ".join(f"w{i}" for i in range(10)))], "item_id string, text string")
     (row,) = decontaminate.decontaminate(docs, bench).collect()
     assert row.text.split() == [f"own{i}" for i in range(200)]
+
+
+def test_labels_beyond_127():
+    scores = np.full((200, 200), -9.0, dtype=np.float32)
+    np.fill_diagonal(scores, 0.0)
+    ids = np.repeat(np.arange(200), 3)
+    assert langid.viterbi(scores, ids, np.array([300, 300]), 1.0).tolist() == ids.tolist()
