@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillet.llm.common import column_of, read
+from rillet.llm.common import column_of, lean, read
 
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 2048
@@ -149,7 +149,7 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, vec_id: str = "
     queries = good.where("q").withColumn("r", block("r", rows)).withColumn("c", every(cols)).withColumn("side", F.lit(0))
     cands = good.withColumn("c", block("c", cols)).withColumn("r", every(rows)).withColumn("side", F.lit(1))
     both = queries.unionByName(cands).select("d", "r", "c", "side", "id", "v")
-    heaps = both.repartition("d", "r", "c").sortWithinPartitions("d", "r", "c", "side").mapInArrow(_stripes(k, candidate_block), "query_id long, vec_id long, score double")
+    heaps = both.repartition("d", "r", "c").sortWithinPartitions("d", "r", "c", "side").mapInArrow(lean(_stripes(k, candidate_block)), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return heaps.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

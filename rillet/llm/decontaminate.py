@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillet.llm.common import column_of, read, small_batches, written
+from rillet.llm.common import column_of, lean, read, small_batches, written
 
 WINDOW = 10
 #: Text bytes of the items in one automaton; more items make more blocks.
@@ -200,7 +200,7 @@ def find(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id: str
 
         if k:
             out = written(out, "decontaminate")
-        out = out.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
+        out = out.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *extra]))
     return out
 
 
@@ -244,7 +244,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, text: str = "text", min_
                 columns = [pa.array(texts, pa.string()) if n == text else column_of(batch, n) for n in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(changed)], names=[*names, "_changed"]).filter(pa.array(keep))
 
-        done = found.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_changed", T.BooleanType())]))
+        done = found.mapInArrow(lean(run), T.StructType([*schema.fields, T.StructField("_changed", T.BooleanType())]))
         if k == 0:
             done = written(done, "decontaminated")
             clean = done.where("not _changed").select(*names)

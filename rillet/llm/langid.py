@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillet.llm.common import column_of, crc_mod, read, small_batches
+from rillet.llm.common import column_of, crc_mod, lean, read, small_batches
 
 #: Fixed values of the Unicode standard: script, first and last code point of its main blocks.
 SCRIPT_RANGES = (
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     counts = np.zeros((SLOTS, len(langs)))
     scripts = np.zeros((len(langs), len(SCRIPTS)))
     sample = good.where(unit < rate).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    for row in sample.mapInArrow(count, "k int, grams binary, letters binary").toLocalIterator():
+    for row in sample.mapInArrow(lean(count), "k int, grams binary, letters binary").toLocalIterator():
         counts[:, row["k"]] += np.frombuffer(row["grams"], np.int32)
         scripts[row["k"]] += np.frombuffer(row["letters"], np.int64)
     return LanguageModel(langs, counts, scripts, switch=switch)
@@ -264,7 +264,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", t
                 spans.append([{"first": a, "last": b, "lang": m.langs[int(p[a])]} for a, b in zip(cuts, cuts[1:], strict=False)])
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([len(p) for p in paths], pa.int64()), pa.array(spans, span)], names=["doc_id", "lang_pred", "score", "n_words", "spans"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, n_words bigint, spans array<struct<first:int,last:int,lang:string>>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double, n_words bigint, spans array<struct<first:int,last:int,lang:string>>")
 
 
 def op1_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

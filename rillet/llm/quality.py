@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillet.llm.common import column_of, crc_mod, read, small_batches
+from rillet.llm.common import column_of, crc_mod, lean, read, small_batches
 
 #: Byte classes: 0 other symbol, 1 lower case, 2 upper case, 3 digit, 4 blank, 5 line end, 6 sentence mark, 7 beyond ASCII.
 N_CLASS = 8
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     ids = base.select("_id", "_h").join(judged, "_id", "left")
     take = ids.where("label = 1").orderBy("_h").limit(max_positive).unionByName(ids.where("label is null or label <> 1").orderBy("_h").limit(max_unlabelled))
     sample = base.join(F.broadcast(take.select("_id", "label").dropDuplicates(["_id"])), "_id")
-    rows = sample.select("label", "text").mapInArrow(_feature_rows, "label int, features binary").collect()
+    rows = sample.select("label", "text").mapInArrow(lean(_feature_rows), "label int, features binary").collect()
     if not rows:
         return QualityModel(np.zeros(N_FEATURE), 0.0, np.zeros(N_FEATURE), np.ones(N_FEATURE), 0.5)
     x = np.stack([np.frombuffer(r["features"], dtype=np.float32) for r in rows])
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: QualityModel, *, text: str = "text", column: s
             s = shared.value.score(column_of(batch, text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(column_of(batch, n) for n in names), pa.array(s)], names=[*names, column])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(lean(run), schema)
 
 
 THRESHOLD = 0.3

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from rillet.llm.common import column_of, components, read, small_batches, written
+from rillet.llm.common import column_of, components, lean, read, small_batches, written
 
 N = 23
 RADIUS = 3
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", column: str = "fp") ->
             fp = np.array([fingerprint(t) for t in column_of(batch, text).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(column_of(batch, n) for n in names), pa.array(fp)], names=[*names, column])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(lean(run), schema)
 
 
 def _syndromes() -> np.ndarray:
@@ -213,9 +213,9 @@ def _compare(threshold: int):
 
 def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all links."""
-    replicas = distinct.select("fp").mapInArrow(_replicate(threshold), "anchor bigint, fp bigint, home boolean")
+    replicas = distinct.select("fp").mapInArrow(lean(_replicate(threshold)), "anchor bigint, fp bigint, home boolean")
     dealt = replicas.repartition("anchor").sortWithinPartitions("anchor")
-    found = written(dealt.mapInArrow(_compare(threshold), "a bigint, b bigint, over boolean"), "simhash-links")
+    found = written(dealt.mapInArrow(lean(_compare(threshold)), "a bigint, b bigint, over boolean"), "simhash-links")
     near = found.where("not over").select("a", "b")
     flips = F.array(*[F.lit(int(x)) for x in _FLIPS.view(np.int64)])
     keyed = found.where("over").select(F.col("a").alias("fp"), F.explode(F.transform(flips, lambda m: F.col("a").bitwiseXOR(m))).alias("z"))
