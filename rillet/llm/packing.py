@@ -24,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillet.llm.common import column_of, read, small_batches, written
+from rillet.llm.common import column_of, lean, read, small_batches, written
 
 SEQUENCE = 2048
 SEPARATOR = 0
 BUCKET_ROWS = 8192
-#: Words that a worker keeps; beyond it the cache starts anew.
+#: Words that a worker holds at once, and those that it keeps, the most used ones, from one task to the next.
 CACHE_WORDS = 400_000
+KEPT_WORDS = 100_000
 #: Words encoded at a time, and the marks that may end one of them.
-TOGETHER = 64
+TOGETHER = 16
 MARKS = (".", ",", "!", "?", ";", ":")
 
 
@@ -59,17 +60,21 @@ class WordEncoder:
     """Token ids of texts, equal to encoding each text whole.
 
     Blanks and line ends are white space to the vocabulary, which splits there and drops them; so the
-    ids of a text are those of its words in turn, and a word is encoded once.  Words of letters alone,
-    or with one mark behind, are one or two units to the vocabulary; they are encoded many at a time
-    and told apart by the tokens that end a unit.  Should their number not add up, and for all other
+    ids of a text are those of its words in turn, and a word is encoded once.  Words of lower-case letters
+    alone, or with one mark behind, are one or two units to the vocabulary; they are encoded many at a time,
+    without folding and pattern matching, and told apart by the tokens that end a unit.  Should their number not add up, and for all other
     words, each is encoded by itself.
     """
 
     def __init__(self, path: str, separator: int | None = SEPARATOR) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.separator = Tokenizer.from_file(path), separator
+        # Lower-case letters need no folding, and no other cut than at blanks.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -77,18 +82,31 @@ class WordEncoder:
 
     def _reset(self) -> None:
         self.numbers = _Numbers()
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first, self.size, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def shrink(self, most: int) -> None:
+        """Keep the most used words that were seen twice, `most` at most."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[:most]])
+        words, first, size, pool, uses = list(self.numbers), self.first[keep], self.size[keep], self.pool, self.uses[keep]
+        self._reset()
+        for i in keep.tolist():
+            self.numbers[words[i]]
+        self.numbers.fresh = []
+        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        self.first, self.size, self.uses, self.pool = np.cumsum(size) - size, size, uses // 2, pool[at]
+
+    def _flat(self, texts: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array(list(chain.from_iterable(found)), dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
 
     @staticmethod
     def _units(word: str) -> int:
-        """1 for letters alone, 2 for letters and a mark, 0 for any other word."""
+        """1 for lower-case letters alone, 2 for such letters and a mark, 0 for any other word."""
         body = word[:-1] if word[-1:] in MARKS and len(word) > 1 else word
-        if not body.isalpha() or not (body.isascii() or (body.lower().isalpha() and unicodedata.is_normalized("NFC", body))):
+        if not body.isalpha() or not body.islower() or not (body.isascii() or unicodedata.is_normalized("NFC", body)):
             return 0
         return 1 + (body is not word)
 
@@ -100,8 +118,8 @@ class WordEncoder:
         first = np.zeros(len(words), dtype=np.int64)
         flat = np.zeros(0, np.uint32)
         if len(plain):
-            joined = [words[i] for i in plain.tolist()]
-            flat, _ = self._flat([" ".join(joined[k : k + TOGETHER]) for k in range(0, len(joined), TOGETHER)])
+            joined = [words[i] if units[i] == 1 else f"{words[i][:-1]} {words[i][-1]}" for i in plain.tolist()]
+            flat, _ = self._flat([" ".join(joined[k : k + TOGETHER]) for k in range(0, len(joined), TOGETHER)], self.plain)
             stop = np.flatnonzero(self.ends[flat]) + 1
             last = np.cumsum(units[plain])
             if len(stop) == last[-1] and stop[-1] == len(flat):
@@ -112,7 +130,7 @@ class WordEncoder:
                 units[:], flat = 0, np.zeros(0, np.uint32)
         odd = np.flatnonzero(units == 0)
         if len(odd):
-            more, n = self._flat([words[i] for i in odd.tolist()])
+            more, n = self._flat([words[i] for i in odd.tolist()], self.tokenizer)
             size[odd] = n
             first[odd] = len(flat) + np.cumsum(n) - n
             flat = np.concatenate([flat, more])
@@ -120,16 +138,27 @@ class WordEncoder:
         self.size = np.concatenate([self.size, size])
         self.pool = np.concatenate([self.pool, flat])
 
+    @staticmethod
+    def _lower(text: str) -> str:
+        """The text in lower case where the vocabulary's own folding (NFC, then each letter by itself) gives the same ids."""
+        if text.isascii():
+            return text.lower()
+        if "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+            return text
+        low = text.lower()
+        return low if unicodedata.is_normalized("NFC", low) else text
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, the separator after each text, and how many each text has."""
         if len(self.numbers) > CACHE_WORDS:
-            self._reset()
-        words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+            self.shrink(CACHE_WORDS // 2)
+        words = [self._lower(t).replace("\n", " ").split(" ") if t else [] for t in texts]
         counts = np.array([len(w) for w in words], dtype=np.int64)
         order = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(counts.sum()))
         if self.numbers.fresh:
             self._learn(self.numbers.fresh)
             self.numbers.fresh = []
+        self.uses = np.bincount(order, minlength=len(self.size)) + np.append(self.uses, np.zeros(len(self.size) - len(self.uses), np.int64))
         tail = [] if self.separator is None else [self.separator]
         pool = np.concatenate([self.pool, np.array(tail, dtype=np.uint32)])
         # The separator is one more word, number -1, and stands after each text's own.
@@ -143,6 +172,17 @@ class WordEncoder:
         return pool[at], np.diff(np.concatenate([[0], stops]))
 
 
+#: A worker's encoder by path and separator, so that its tasks load the vocabulary once.
+_ENCODERS: dict[tuple[str, int | None], WordEncoder] = {}
+
+
+def encoder_of(path: str, separator: int | None = SEPARATOR) -> WordEncoder:
+    if (path, separator) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, separator] = WordEncoder(path, separator)
+    return _ENCODERS[path, separator]
+
+
 def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, sequence: int = SEQUENCE, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, little-endian uint32) of every piece.
 
@@ -153,7 +193,7 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path:
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for batch in small_batches(batches):
             flat, totals = encoder.encode(column_of(batch, "text").to_pylist())
             n = -(-totals // sequence)
@@ -170,8 +210,9 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path:
                 columns.append(pa.array([bytes(x) for x in cut], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder.shrink(KEPT_WORDS)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), schema)
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
