@@ -4,19 +4,25 @@ Every byte covered by a string of `length` (400) bytes that also starts elsewher
 
 Each window of `length` bytes picks its anchor: the k-gram of least hash in it, leftmost on ties.  Equal
 windows pick equal anchors at equal offsets, so windows are compared only where anchors are equal.
-Neighbouring windows with one anchor form a run; a run's bytes are its context, and equal contexts
-are counted by digest (a context that occurs twice is covered whole).  Where an anchor has several
-contexts, one of each is fetched, and the suffixes that start at the anchors, rightwards and leftwards,
-are sorted: mergesort, each comparison finding the common extension by binary search over prefix
+Neighbouring windows with one anchor form a run; a run's bytes are its context.  Contexts of one 128-bit
+digest count as equal (one that occurs twice is covered whole) and one of them stands for all.  Where an
+anchor has several contexts, they are fetched, and the suffixes that start at the anchors, rightwards and
+leftwards, are sorted: mergesort, each comparison finding the common extension by binary search over prefix
 polynomial hashes; the extensions of neighbours are verified on the bytes.  For each offset of the
 anchor in its window, cutting both orders where neighbours share too little gives classes, and windows
-in one class to either side are equal.  An anchor with more than `hot` contexts takes its windows'
-digests through a Spark aggregation instead, which no single task has to hold.
+in one class to either side are equal.
+
+A sort takes up to `hot` contexts.  An anchor with more is split by what its windows share: those with the
+anchor at offsets a to b all hold the bytes from a before the anchor to `length` - b behind its start, so
+only contexts that agree there are sorted together, cut to those windows, and equal cuts stand for each
+other again.  Intervals of offsets are split further, down to one offset, where all windows of a group are
+equal, until no group has more; so no task holds more than that of one anchor.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from rillet.llm.common import column_of, drop_written, free_shuffles, read, shared_dir, small_batches, written
+from rillet.llm.common import column_of, drop_written, free_shuffles, lean, read, shared_dir, small_batches, written
 
 LENGTH = 400
 GRAM = 16
@@ -179,8 +185,8 @@ class Suffixes:
 
     def verify(self, a: np.ndarray, b: np.ndarray, found: np.ndarray) -> None:
         """Compare the bytes of the extensions; a collision of hashes is an error, not a wrong result."""
-        for k in range(0, len(a), 20_000):
-            x, y, n = a[k : k + 20_000], b[k : k + 20_000], found[k : k + 20_000]
+        for k in range(0, len(a), 1000):
+            x, y, n = a[k : k + 1000], b[k : k + 1000], found[k : k + 1000]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             if not np.array_equal(self.data[np.repeat(x, n) + step], self.data[np.repeat(y, n) + step]):
                 raise ArithmeticError("prefix hashes collided")
@@ -249,37 +255,89 @@ def _compare(length: int):
 
 def _fetch(length: int):
     """The contexts that were asked for, cut from the texts."""
+    names = [*CONTEXT, "lo", "hi", "context"]
+    types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*CONTEXT, "lo", "hi", "context"]
         for batch in small_batches(batches, "text", ARRAY_BYTES):
-            out: list[list] = [[] for _ in names]
+            out: list[tuple] = []
+            size = 0
             for raw, wanted in zip(_bytes_of(batch), column_of(batch, "wanted").to_pylist(), strict=True):
                 for x in wanted:
-                    for k, v in enumerate((x["ah"], x["c1"], x["c2"], x["lo"], x["hi"], raw[x["place"] - x["hi"] : x["place"] - x["lo"] + length])):
-                        out[k].append(v)
-            types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
+                    out.append((x["ah"], x["c1"], x["c2"], x["lo"], x["hi"], raw[x["place"] - x["hi"] : x["place"] - x["lo"] + length]))
+                    size += len(out[-1][5])
+                    if size > ARRAY_BYTES:
+                        yield _batch(out, names, types)
+                        out, size = [], 0
+            yield _batch(out, names, types)
 
     return run
 
 
-def _windows(length: int):
-    """The digest of every window of contexts of hot anchors."""
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names=names)
+
+
+def steps(length: int) -> list[int]:
+    """Widths of the intervals of offsets: an eighth of the one before, down to 1."""
+    out = [length - GRAM + 1]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // 8))
+    return out[1:] or [1]
+
+
+def _split(step: int, length: int):
+    """Cut contexts to the windows of each interval of offsets; the new anchor hash is that of the bytes these windows share."""
+    names = [*CONTEXT, "lo", "hi", "context", "p0", "p1", "p2"]
+    types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()] + [pa.int64()] * 3
+    two = "<qq"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
         for batch in batches:
-            out: list[tuple] = []
-            for ah, c1, c2, lo, hi, context in zip(*(column_of(batch, c).to_pylist() for c in [*CONTEXT, "lo", "hi", "context"]), strict=True):
-                view = memoryview(context)
-                out += [(ah, c1, c2, o, xxh3_128_digest(view[hi - o : hi - o + length], seed=o)) for o in range(lo, hi + 1)]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            two = np.frombuffer(b"".join(columns[4]), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(pa.array(columns[k], pa.int64()) for k in range(3)), pa.array(columns[3], pa.int32()), pa.array(two[:, 0]), pa.array(two[:, 1])], names=[*CONTEXT, "o", "w1", "w2"])
+            for row in zip(*(column_of(batch, c) for c in [*CONTEXT, "lo", "hi", "context"]), strict=True):
+                ah, c1, c2, lo, hi, context = (x.as_py() for x in row)
+                for a in range(lo // step * step, hi + 1, step):
+                    b = a + step - 1
+                    shared, _ = struct.unpack(two, xxh3_128_digest(struct.pack(two, ah, a) + context[hi - a : hi + length - b]))
+                    first, last = max(lo, a), min(hi, b)
+                    cut = context[hi - last : hi - first + length]
+                    out.append((shared, *struct.unpack(two, xxh3_128_digest(cut, seed=last)), first, last, cut if step > 1 else b"", ah, c1, c2))
+                    size += len(cut)
+                if size > ARRAY_BYTES:
+                    yield _batch(out, names, types)
+                    out, size = [], 0
+        yield _batch(out, names, types)
 
     return run
 
 
+CONTEXT_TYPE = "ah bigint, c1 bigint, c2 bigint"
+
+
+def fates(cool: DataFrame, hot: DataFrame | None, length: int, limit: int, widths: list[int]) -> DataFrame:
+    """CONTEXT and offsets (first, last, ...) of the windows that occur in another context, of contexts one a row.
+
+    cool are those of anchors with up to `limit` contexts; hot ones are split by the first of `widths`.
+    """
+    found = cool.repartition("ah").sortWithinPartitions("ah").mapInArrow(lean(_compare(length)), f"{CONTEXT_TYPE}, offsets array<int>").where(F.size("offsets") > 0)
+    if hot is None:
+        return found
+    parts = written(hot.mapInArrow(lean(_split(widths[0], length)), f"{CONTEXT_TYPE}, lo int, hi int, context binary, p0 bigint, p1 bigint, p2 bigint"), "context-parts")
+    # At one offset equal digests are equal windows, and others are none.
+    kinds = written(parts.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi")), "context-kinds")
+    below = kinds.where("n > 1").select(*CONTEXT, F.array("lo", "hi").alias("offsets"))
+    if widths[0] > 1:
+        many = written(kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "context-many")
+        each = written(parts.join(many, "ah").groupBy(*CONTEXT, "lo", "hi", "kinds").agg(F.first("context").alias("context")), "context-each")
+        hotter = each.where(F.col("kinds") > limit)
+        below = below.unionByName(fates(each.where(F.col("kinds") <= limit), None if hotter.isEmpty() else hotter, length, limit, widths[1:]))
+    below = written(below, "context-fates")
+    back = parts.select(*CONTEXT, "p0", "p1", "p2").join(below, CONTEXT)
+    return found.unionByName(back.select(F.col("p0").alias("ah"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), "offsets"))
+
+
 def _judge(length: int):
     """Lengths, spans and digest of each text, given the window starts to remove."""
 
@@ -321,6 +379,15 @@ def distinct_texts(docs: DataFrame, text: str) -> DataFrame:
     return spark.table(name)
 
 
+def drop_texts(texts: DataFrame) -> None:
+    """Delete a table made by distinct_texts() that nothing reads any longer, from the catalog and the folder."""
+    spark = texts.sparkSession
+    names = {f.rsplit("/", 2)[1] for f in texts.inputFiles()}
+    drop_written(texts)
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (first, end, first, end ...) of every row of docs.
 
@@ -328,26 +395,19 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
     """
     spark = docs.sparkSession
     texts = distinct_texts(docs, text)
-    rows = written(texts.select(*KEY, "text").mapInArrow(_anchor_rows(length), "ah bigint, c1 bigint, c2 bigint, th1 bigint, th2 bigint, place int, lo int, hi int"), "anchors")
+    rows = written(texts.select(*KEY, "text").mapInArrow(lean(_anchor_rows(length)), "ah bigint, c1 bigint, c2 bigint, th1 bigint, th2 bigint, place int, lo int, hi int"), "anchors")
     # Aggregates are written before they are joined, so that Spark can split the joins' hot anchors.
     again = written(rows.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ah"), "anchors-again")
     shared = written(rows.join(again, "ah", "left_semi"), "anchors-shared")
     drop_written(rows)
     free_shuffles(spark)
     contexts = written(shared.groupBy(*CONTEXT).agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.min(F.struct(*KEY, "place")).alias("at")), "contexts")
-    kinds = contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    wanted = contexts.join(kinds, "ah").select(F.col("at.th1").alias("th1"), F.col("at.th2").alias("th2"), F.struct(*CONTEXT, "lo", "hi", F.col("at.place").alias("place"), (F.col("kinds") > hot).alias("hot")).alias("x"))
-    asked = lambda want: texts.select(*KEY, "text").join(wanted.where(want).groupBy(*KEY).agg(F.collect_list("x").alias("wanted")), KEY).select("text", "wanted").mapInArrow(_fetch(length), "ah bigint, c1 bigint, c2 bigint, lo int, hi int, context binary")
-    cool = asked(~F.col("x.hot")).repartition("ah").sortWithinPartitions("ah").mapInArrow(_compare(length), "ah bigint, c1 bigint, c2 bigint, offsets array<int>").where(F.size("offsets") > 0)
-    windows = asked(F.col("x.hot")).mapInArrow(_windows(length), "ah bigint, c1 bigint, c2 bigint, o int, w1 bigint, w2 bigint")
-    window = ["ah", "o", "w1", "w2"]
-    mark = F.xxhash64("c1", "c2")
-    twice = windows.groupBy(*window).agg(F.min(mark).alias("_a"), F.max(mark).alias("_b")).where("_a <> _b").select(*window)
-    warm = windows.join(twice, window, "left_semi").groupBy(*CONTEXT).agg(F.flatten(F.collect_list(F.array("o", "o"))).alias("offsets"))
+    kinds = written(contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "anchor-kinds")
+    wanted = contexts.join(kinds, "ah").select(F.col("at.th1").alias("th1"), F.col("at.th2").alias("th2"), F.struct(*CONTEXT, "lo", "hi", F.col("at.place").alias("place")).alias("x"), (F.col("kinds") > hot).alias("hot"))
+    asked = lambda want: texts.select(*KEY, "text").join(wanted.where(want).groupBy(*KEY).agg(F.collect_list("x").alias("wanted")), KEY).select("text", "wanted").mapInArrow(lean(_fetch(length)), f"{CONTEXT_TYPE}, lo int, hi int, context binary")
+    split = None if kinds.where(F.col("kinds") > hot).isEmpty() else asked("hot")
     whole = contexts.where("n > 1").select(*CONTEXT, F.array("lo", "hi").alias("offsets"))
-    warm = written(warm, "fate-hot")
-    free_shuffles(spark)
-    fate = written(whole.unionByName(cool).unionByName(warm), "fate")
+    fate = written(whole.unionByName(fates(asked("not hot"), split, length, hot, steps(length))), "fate")
     drop_written(contexts)
     free_shuffles(spark)
 
@@ -357,7 +417,8 @@ def repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
     copied = (F.col("n") > 1) & (F.octet_length("text") >= length)
     all_of = F.array(F.struct(F.lit(0).alias("first"), (F.octet_length("text") - length).alias("last")))
     judged = texts.join(starts, KEY, "left").select(*KEY, "text", F.when(copied, all_of).otherwise(F.col("starts")).alias("starts"))
-    verdict = written(judged.mapInArrow(_judge(length), "th1 bigint, th2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>"), "verdict")
+    verdict = written(judged.mapInArrow(lean(_judge(length)), "th1 bigint, th2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>"), "verdict")
+    drop_texts(texts)
     raw = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(raw).alias("th1"), F.xxhash64(F.lit("text"), raw).alias("th2"))
     return keyed.join(verdict, KEY).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
