@@ -23,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillet.llm.common import drop_written, free_shuffles, read, written
+from rillet.llm.common import drop_written, free_shuffles, read, spare, written
 
 MIN_WORDS = 5
+#: Bits of the map that says which documents may be asked for a line; it bounds a broadcast (2 MB), not the result.
+MAP_BITS = 1 << 24
 #: Bits of a word's hash that enter a sum; sums of 2**20 words stay within 62 bits.
 MASK = (1 << 42) - 1
 LINE = ["h1", "h2"]
@@ -57,9 +59,28 @@ def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc_id", "th", "line_no", _words(F.col("line")).alias("words"))
 
 
-def _sums(hashes: Column) -> Column:
-    """Running sums of an array, 0 first."""
-    return F.aggregate(hashes, F.array(F.lit(0).cast("bigint")), lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1) + h)))
+#: Items that are added up at a time: each step copies what it has so far, so that long lines take one run a block.
+BLOCK = 128
+
+
+def _running(values: Column, start: Column) -> Column:
+    """Running sums of a short array, the start first."""
+    return F.aggregate(values, F.array(start), lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1) + h)))
+
+
+def _with_sums(df: DataFrame, name: str, hashes: Column) -> DataFrame:
+    """df with the running sums of an array, 0 first: of each block, and then of the blocks' totals.
+
+    Each step is a column of its own, so that it is worked out once a row.
+    """
+    zero = F.lit(0).cast("bigint")
+    h, blocks, totals = f"{name}_h", f"{name}_blocks", f"{name}_totals"
+    last = F.floor((F.size(h) - 1) / BLOCK).cast("int")
+    df = df.withColumn(h, hashes)
+    df = df.withColumn(blocks, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: _running(F.slice(h, b * BLOCK + 1, BLOCK), zero)))
+    df = df.withColumn(totals, _running(F.transform(blocks, lambda x: F.element_at(x, -1)), zero))
+    inner = F.flatten(F.transform(blocks, lambda x, i: F.transform(F.slice(x, 2, BLOCK), lambda v: v + F.get(totals, i))))
+    return df.withColumn(name, F.concat(F.array(zero), inner))
 
 
 #: What a shared half asks of a line: bits 0, 1 (first, second half shared with a line of its length),
@@ -78,7 +99,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     """key of each variant that a line (words, w, bits) may share: words deleted, and gaps, in the half that is not shared."""
     front = F.transform("words", lambda x, i: F.xxhash64(x, i).bitwiseAND(F.lit(MASK)))
     back = F.transform(F.reverse("words"), lambda x, i: F.xxhash64(x, i, F.lit(1)).bitwiseAND(F.lit(MASK)))
-    made = lines.withColumn("_f", _sums(front)).withColumn("_b", _sums(back))
+    made = _with_sums(_with_sums(lines, "_f", front), "_b", back)
     key = lambda i, rest: F.xxhash64(i, rest, F.element_at("_f", i + 1), F.element_at("_b", rest + 1))
     w, zero = F.col("w"), F.lit(0)
     p, q = F.floor(w / 2).cast("int"), F.floor((w - 1) / 2).cast("int")
@@ -99,23 +120,36 @@ def _within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (same(a, b) + same(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
+def _maybe(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys may be among those of wanted, by a bit map of hashes: spares the join most of the texts."""
+    spot = F.pmod(F.xxhash64(*keys, F.lit("map")), F.lit(MAP_BITS)) + 1
+    bits = wanted.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(spot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    there = F.expr("shiftright(byte, cast(bitmap_bit_position(spot) % 8 as int)) & 1") == 1
+    marked = rows.withColumn("spot", spot).withColumn("part", F.bitmap_bucket_number("spot")).join(F.broadcast(bits), "part")
+    return marked.withColumn("byte", byte).where(there).select(*rows.columns)
+
+
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """doc_id, th and removed (line numbers from 0) of the documents that lose lines.
 
     Rows without an id or text take no part.  Repeated rows (same id and text) count as one.
     """
     spark = docs.sparkSession
-    every = split_lines(docs, doc_id, text).withColumn("w", F.size("words")).where(F.col("w") >= (1 if short_lines else min_words))
+    # Lines without words are let go once the table is written: a filter before would split every line twice.
+    every = split_lines(docs, doc_id, text).withColumn("w", F.size("words"))
     joined = F.array_join("words", " ")
     # A line without halves has no partner within an edit.
     halves = F.when(F.col("w") >= min_words, _half_keys(F.col("words"), F.col("w"))).otherwise(F.array().cast("array<bigint>"))
     keyed = every.select("doc_id", "th", "line_no", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit("line"), joined).alias("h2"), "w", halves.alias("halves"))
-    seen = written(keyed, "lines")
+    seen = written(keyed, "lines").where(F.col("w") >= (1 if short_lines else min_words))
     distinct = written(seen.groupBy(*LINE, "halves").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first")), "lines-distinct")
+    free_shuffles(spark)
     halves = distinct.select(F.posexplode("halves").alias("k", "half"), *LINE)
     own = F.when(F.col("k") < 2, F.col("h1"))
     shared = halves.groupBy("half").agg(F.min(own).alias("_a"), F.max(own).alias("_b"), F.max("k").alias("_k")).where("_a is not null and (_a <> _b or _k > 1)")
     shared = written(shared, "lines-shared")  # written before the join, so that Spark can split its hot keys
+    free_shuffles(spark)
     bit = F.col("k").cast("int")
     same = F.when((bit < 2) & (F.col("_a") != F.col("_b")), F.pow(F.lit(2), bit).cast("int")).otherwise(0)
     cross = F.when(F.col("_k") > 1, F.pow(F.lit(2), bit + 2).cast("int")).otherwise(0)
@@ -127,19 +161,20 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     # The words of those lines, from the document of their first occurrence.
     wanted = chosen.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct(F.col("first.line_no").alias("line_no"), *LINE, "bits").alias("at")).groupBy("doc_id", "th").agg(F.collect_list("at").alias("at"))
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    found = source.join(wanted, ["doc_id", "th"])
+    found = _maybe(source, wanted, ["doc_id", "th"]).join(wanted, ["doc_id", "th"])
     lines = found.withColumn("text", F.split("text", "\n")).select("doc_id", "th", "text", F.explode("at").alias("at"))
     lines = lines.select("at.h1", "at.h2", "at.bits", F.struct("doc_id", "th", F.col("at.line_no").alias("line_no")).alias("first"), _words(F.get("text", "at.line_no")).alias("words"))
     lines = written(lines.withColumn("w", F.size("words")), "lines-words")
     free_shuffles(spark)
 
-    variants = _variants(lines)
+    variants = written(_variants(lines), "lines-variants")
     earliest = variants.groupBy("key").agg(F.min(F.struct("first", *LINE)).alias("to"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "to")
     earliest = written(earliest, "lines-earliest")
     pairs = variants.join(earliest, "key").where("first > to.first").select(*LINE, F.col("to.h1").alias("e1"), F.col("to.h2").alias("e2")).distinct()
     other = lines.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("other"))
     near = pairs.join(lines.select(*LINE, "words"), LINE).join(other, ["e1", "e2"]).where(_within_one(F.col("words"), F.col("other"))).select(*LINE).distinct().withColumn("near", F.lit(True))
     near = written(near, "lines-near")
+    drop_written(variants)
     free_shuffles(spark)
 
     fate = written(distinct.select(*LINE, "first").join(near, LINE, "left"), "lines-fate")
@@ -155,10 +190,15 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     A text that loses all its lines becomes empty; null texts stay null.
     """
-    gone = removed_lines(docs, doc_id=doc_id, text=text, **options).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
-    joined = docs.join(gone, (docs[doc_id] == F.col("_doc")) & (F.xxhash64(docs[text]) == F.col("_th")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    return joined.withColumn(text, F.when(F.col("_removed").isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns)
+    key, th, cut = spare(docs.columns, "doc", "th", "removed")
+    gone = removed_lines(docs, doc_id=doc_id, text=text, **options).select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("removed").alias(cut))
+    joined = docs.join(gone, (docs[doc_id] == F.col(key)) & (F.xxhash64(docs[text]) == F.col(th)), "left")
+    lines = F.split(text, "\n")
+    # The stretches between removed lines, whose numbers are sorted.
+    borders = F.concat(F.array(F.lit(-1)), F.col(cut), F.array(F.size(lines)))
+    stretches = F.transform(F.sequence(F.lit(1), F.size(cut) + 1), lambda i: F.slice(lines, F.element_at(borders, i) + 2, F.element_at(borders, i + 1) - F.element_at(borders, i) - 1))
+    kept = F.array_join(F.flatten(stretches), "\n")
+    return joined.withColumn(text, F.when(F.col(cut).isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op10_deletion_join(spark: SparkSession, sf_dir: str) -> DataFrame:
