@@ -3,7 +3,7 @@
 A word is a run between white space that holds a letter.  Its score for a language is the mean log
 probability of its byte n-grams (with word borders) times a length weight, from counts over a bounded
 training sample.  A language is a candidate for a word only if the word's scripts occur in the
-language's own training text.  Over a text's words, Viterbi maximises the sum of word scores less
+language's own training text; other languages are excluded, unless that leaves none.  Over a text's words, Viterbi maximises the sum of word scores less
 `switch` for each change of language; the path gives spans, and the language with most letters in it
 is the text's.  Scoring is one pass over whole texts, without a shuffle; words are scored once each
 and the dynamic programme runs over all texts of a batch together.
@@ -48,7 +48,8 @@ SIZES = (2, 3, 4)
 #: Distinct words that a worker keeps scores of; beyond it the cache starts anew.
 CACHE_WORDS = 300_000
 WORD_BATCH_BYTES = 8 << 20
-NO_CANDIDATE = -30.0
+#: Score of a language that is no candidate for a word; never chosen while there is a candidate.
+NO_CANDIDATE = -1e9
 
 
 def scripts_of(word: str) -> int:
@@ -117,7 +118,7 @@ class LanguageModel:
                 own = [i for i in range(len(SCRIPTS)) if b >> i & 1]
                 ok = self.allowed[:, own].any(1) if own else np.zeros(len(self.langs), bool)
                 if ok.any():
-                    out[np.ix_(bits == b, ~ok)] += NO_CANDIDATE
+                    out[np.ix_(bits == b, ~ok)] = NO_CANDIDATE
         return out, letters
 
     def label(self, texts: list[str | None], seen: _Seen, cache: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -181,7 +182,8 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, lengths: np.ndarray, switch: fl
     return path
 
 
-MAX_LABELS = 10_000
+#: Most languages; a model takes SLOTS * 4 bytes of each, 134 MB in all at this bound.
+MAX_LABELS = 512
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1500, switch: float = 8.0) -> LanguageModel:
@@ -202,31 +204,33 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     number = {name: i for i, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: dict[int, np.ndarray] = {}
-        letters: dict[int, np.ndarray] = {}
+        """Counts of each language's n-grams, and behind them (from SLOTS on) its letters by script."""
         for batch in small_batches(batches):
+            ks, slots, counts = [], [], []
             for text_, lang_ in zip(column_of(batch, "text").to_pylist(), column_of(batch, "lang").to_pylist(), strict=True):
                 words = [w for w in text_.split() if scripts_of(w)]
                 if not words:
                     continue
-                k = number[lang_]
-                grams.setdefault(k, np.zeros(SLOTS, np.int64))
-                grams[k] += np.bincount(_grams(words)[0], minlength=SLOTS)
-                mine = letters.setdefault(k, np.zeros(len(SCRIPTS), np.int64))
-                for w in words:
-                    bits = scripts_of(w)
-                    for i in range(len(SCRIPTS)):
-                        if bits >> i & 1:
-                            mine[i] += len(w)
-        for k, x in grams.items():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([x.astype(np.int32).tobytes()], pa.binary()), pa.array([letters[k].tobytes()], pa.binary())], names=["k", "grams", "letters"])
+                found, n = np.unique(_grams(words)[0], return_counts=True)
+                bits = np.array([scripts_of(w) for w in words])
+                letters = np.array([len(w) for w in words])
+                by = np.array([letters[bits >> i & 1 == 1].sum() for i in range(len(SCRIPTS))])
+                slots += [found, SLOTS + np.flatnonzero(by)]
+                counts += [n, by[by > 0]]
+                ks.append(np.full(len(found) + (by > 0).sum(), number[lang_], np.int32))
+            if ks:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((ks, np.int32), (slots, np.int32), (counts, np.int64))], names=["k", "slot", "n"])
 
     counts = np.zeros((SLOTS, len(langs)))
     scripts = np.zeros((len(langs), len(SCRIPTS)))
     sample = good.where(unit < rate).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    for row in sample.mapInArrow(lean(count), "k int, grams binary, letters binary").toLocalIterator():
-        counts[:, row["k"]] += np.frombuffer(row["grams"], np.int32)
-        scripts[row["k"]] += np.frombuffer(row["letters"], np.int64)
+    # Summed by executors: what comes to the driver is bounded by the model's size, whatever the sample.
+    sums = sample.mapInArrow(lean(count), "k int, slot int, n bigint").groupBy("k", "slot").agg(F.sum("n").alias("n"))
+    found = sums.toArrow()
+    k, slot, n = (found.column(c).to_numpy() for c in ("k", "slot", "n"))
+    gram = slot < SLOTS
+    counts[slot[gram], k[gram]] = n[gram]
+    scripts[k[~gram], slot[~gram] - SLOTS] = n[~gram]
     return LanguageModel(langs, counts, scripts, switch=switch)
 
 
