@@ -6,7 +6,8 @@ with quality 1; all other rows are unlabelled.  A linear model minimises
 
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))
 
-with the logistic loss, the prior being estimated beforehand.  The fit uses a bounded sample
+with the logistic loss.  The prior, the share of positives among the unlabelled, is estimated beforehand from
+scores of held-out positives and unlabelled rows; no other label is used.  The fit uses a bounded sample
 (`max_positive`, `max_unlabelled` rows, taken by hash); scoring is one pass without a shuffle.
 """
 
@@ -73,43 +74,91 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([column_of(batch, "label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "features"])
 
 
-def estimate_prior(labels: np.ndarray, known: np.ndarray, scores: np.ndarray | None = None) -> float:
-    """Share of positives: of judged rows where both labels occur, else of the unlabelled by Elkan and Noto's ratio."""
-    judged = labels[known]
-    if len(judged) >= 20 and 0 < judged.mean() < 1:
-        return float(judged.mean())
-    if scores is None or not len(scores) or not (labels == 1).any():
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, *, delta: float = 0.1) -> float:
+    """Share of positives among unlabelled rows, from scores of held-out positives and unlabelled rows alone.
+
+    Above a threshold lie a share of the positives and a share of the unlabelled; the second over the first
+    bounds the prior from above, closest where few negatives score as high (Garg et al. 2021, best bin
+    estimation).  The threshold is the one of least upper confidence bound.  Without scores it is 0.5.
+    """
+    if not len(positive) or not len(unlabelled):
         return 0.5
-    c = max(float(scores[labels == 1].mean()), 1e-6)
-    return float(np.clip(scores[labels != 1].mean() / c, 0.05, 0.95))
+    p, u = np.sort(positive), np.sort(unlabelled)
+    cuts = np.unique(p)
+    above_p = 1 - np.searchsorted(p, cuts) / len(p)
+    above_u = 1 - np.searchsorted(u, cuts) / len(u)
+    doubt = np.sqrt(np.log(4 / delta) / (2 * len(p))) + np.sqrt(np.log(4 / delta) / (2 * len(u)))
+    best = int(np.argmin((above_u + doubt) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
+def held_out_scores(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of rows that a classifier of positive against unlabelled was not fitted on: two halves, each scored by the other's."""
+    outs: tuple[list, list] = ([], [])
+    for k in (0, 1):
+        p, u = positive[k::2], unlabelled[k::2]
+        if not len(p) or not len(u):
+            return np.zeros(0), np.zeros(0)
+        # Of positives and unlabelled rows as they are: the plain risk, which is that of a prior of a half with nothing taken back.
+        w, b, mean, scale = fit_plain(p, u, rounds=rounds)
+        for out, x in zip(outs, (positive[1 - k :: 2], unlabelled[1 - k :: 2]), strict=True):
+            out.append(((x - mean.astype(np.float32)) / scale.astype(np.float32)) @ w.astype(np.float32) + b)
+    return np.concatenate(outs[0]), np.concatenate(outs[1])
+
+
+def fit_plain(one: np.ndarray, zero: np.ndarray, *, rounds: int = 200, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Weights, bias, mean and scale of a logistic model with both classes at equal weight (Adam, full batches)."""
+    both = np.concatenate([one, zero])
+    mean, scale = both.mean(0, dtype=np.float64), both.std(0, dtype=np.float64) + 1e-3
+    del both
+    p, u = ((x - mean.astype(np.float32)) / scale.astype(np.float32) for x in (one, zero))
+    step = _Adam(p.shape[1] + 1, rate)
+    w, b = np.zeros(p.shape[1]), 0.0
+    for _ in range(rounds):
+        zp, zu = (np.clip((x @ w.astype(np.float32)).astype(np.float64) + b, -30, 30) for x in (p, u))
+        gp, gu = -1 / (1 + np.exp(zp)) / len(p), 1 / (1 + np.exp(-zu)) / len(u)
+        move = step(np.append(gp.astype(np.float32) @ p + gu.astype(np.float32) @ u + ridge * w, gp.sum() + gu.sum()))
+        w, b = w - move[:-1], b - float(move[-1])
+    return w, b, mean, scale
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Weights, bias, mean and scale of the non-negative PU logistic model (Adam, full batches).
+class _Adam:
+    """Steps of the Adam rule."""
+
+    def __init__(self, size: int, rate: float) -> None:
+        self.m, self.v, self.t, self.rate = np.zeros(size), np.zeros(size), 0, rate
+
+    def __call__(self, grad: np.ndarray) -> np.ndarray:
+        self.t += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * grad, 0.999 * self.v + 0.001 * grad**2
+        return self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
-    When the estimated negative risk falls below zero, the step goes against it, as the non-negative
-    correction asks.
+
+def pu_gradient(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of scores of positives and unlabelled rows, and the direction of the step in both.
+
+    Where the estimated negative risk is below zero, the step goes against it, as the non-negative correction asks.
     """
+    negative = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    up, down, rest = -prior * (1 - sp) / len(zp), -prior * sp / len(zp), su / len(zu)
+    risk = prior * np.log1p(np.exp(-zp)).mean() + max(0.0, negative)
+    return (risk, up + down, rest) if negative >= 0 else (risk, -down, -rest)
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Weights, bias, mean and scale of the non-negative PU logistic model (Adam, full batches)."""
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0, dtype=np.float64), both.std(0, dtype=np.float64) + 1e-3
     del both
     p, u = ((x - mean.astype(np.float32)) / scale.astype(np.float32) for x in (positive, unlabelled))
+    step = _Adam(p.shape[1] + 1, rate)
     w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
-    for t in range(1, rounds + 1):
+    for _ in range(rounds):
         zp, zu = (np.clip((x @ w.astype(np.float32)).astype(np.float64) + b, -30, 30) for x in (p, u))
-        negative = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        up, down = -prior * (1 - sp) / len(p), -prior * sp / len(p)
-        rest = su / len(u)
-        if negative >= 0:
-            gp, gu = up + down, rest
-        else:
-            gp, gu = -down, -rest
-        grad = np.append(gp.astype(np.float32) @ p + gu.astype(np.float32) @ u + ridge * w, gp.sum() + gu.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - float(step[-1])
+        _, gp, gu = pu_gradient(zp, zu, prior)
+        move = step(np.append(gp.astype(np.float32) @ p + gu.astype(np.float32) @ u + ridge * w, gp.sum() + gu.sum()))
+        w, b = w - move[:-1], b - float(move[-1])
     return w, b, mean, scale
 
 
@@ -140,30 +189,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     if not rows:
         return QualityModel(np.zeros(N_FEATURE), 0.0, np.zeros(N_FEATURE), np.ones(N_FEATURE), 0.5)
     x = np.stack([np.frombuffer(r["features"], dtype=np.float32) for r in rows])
-    known = np.array([r["label"] is not None for r in rows])
-    y = np.array([r["label"] if r["label"] is not None else -1 for r in rows])
-    counts = {r["label"]: r["n"] for r in judged.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    prior = counts.get(1, 0) / total if 0 < counts.get(1, 0) < total else estimate_prior(y, known)
-    if not (y == 1).any() or (y == 1).all():
-        return QualityModel(np.zeros(N_FEATURE), float(np.log(prior / (1 - prior))), np.zeros(N_FEATURE), np.ones(N_FEATURE), prior)
-    # The unlabelled sample leaves out the labelled positives; they return in the share that makes it like the corpus.
+    one = np.array([r["label"] == 1 for r in rows])
     del rows
-    positive, rest = x[y == 1], x[y != 1]
+    positive, rest = x[one], x[~one]
     del x
-    w, b, mean, scale = fit_pu(positive, rest, prior_among(prior, known, y))
-    return QualityModel(w, b, mean, scale, prior)
-
-
-def prior_among(prior: float, known: np.ndarray, y: np.ndarray) -> float:
-    """The share of positives among unlabelled rows: rows judged 0 are surely negative, the others follow the prior."""
-    rest = y != 1
-    zero = (known & (y == 0)).sum()
-    return float(np.clip(prior * (rest.sum() - zero) / max(rest.sum(), 1), 0.05, 0.95))
+    # Of the unlabelled sample, which leaves out the labelled positives; no label but 1 is used.
+    prior = estimate_prior(*held_out_scores(positive, rest))
+    if not len(positive) or not len(rest):
+        return QualityModel(np.zeros(N_FEATURE), float(np.log(prior / (1 - prior))), np.zeros(N_FEATURE), np.ones(N_FEATURE), prior)
+    return QualityModel(*fit_pu(positive, rest, prior), prior)
 
 
 def score(docs: DataFrame, model: QualityModel, *, text: str = "text", column: str = "score") -> DataFrame:
-    """docs with one more column, the model's probability of good quality; every row is kept, nulls included."""
+    """docs with one more column, the model's probability of good quality, in place of one of that name; every row is kept, nulls included."""
     schema = T.StructType([f for f in docs.schema.fields if f.name != column] + [T.StructField(column, T.DoubleType())])
     names = [f.name for f in schema.fields[:-1]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
