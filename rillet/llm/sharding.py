@@ -1,24 +1,35 @@
 """Resharding by minimum-cost flow: equal bytes in the new shards, fewest bytes moved.
 
 Old shards supply their bytes, new shards take a target each, and a byte costs nothing where it stays
-and one where it moves.  The flow says how many bytes go from each old to each new shard.  It is
-carried out in blocks, the rows of an old shard with one hash of the text, so equal texts share a
-block and move together; only blocks of over half a shard are split, by row.  The driver sees block
-sizes alone: at most BLOCKS of each old shard and 64 parts of a shard for split ones.
+and one where it moves.  The flow says how many bytes of each old shard stay.  It is carried out in
+blocks, the rows of an old shard with one hash of the text; a text of over an eighth of a target is a block
+of its own, so equal texts share a block and move together.  Only a text of over a whole target, which no
+shard can hold, is split, by row.  An old shard keeps blocks, large ones first, until it holds what stays;
+so no more bytes move than in the flow, and it keeps less than its smallest moved block too many.  Moved
+blocks go to the shard with most room, large ones first.  The driver sees block sizes alone: at most BLOCKS
+of each old shard, 8 of a new one, and PARTS parts of a target of split texts.
+
+The shards that gain or lose a row are then written anew, as files of consecutive slots.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+import uuid
+from collections import deque
+
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillet.llm.common import read, written
+from rillet.llm.common import read, shared_dir, spare
 
-#: Blocks of each old shard, and parts of a target into which an oversize block is split.
+#: Blocks of each old shard, shares of a target from which a text is a block of its own, and parts of a target into which a larger text is split.
 BLOCKS = 256
+HEAVY = 8
 PARTS = 64
+#: Bytes of a new file, about.
+FILE_BYTES = 256 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> dict[tuple[int, int], int]:
@@ -70,100 +81,98 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]])
     return {k: edges[e ^ 1][1] for k, e in at.items() if edges[e ^ 1][1]}
 
 
-def assign(blocks: list[tuple[tuple, int, int]], n_old: int, targets: list[int], cost: list[list[int]] | None = None) -> dict[tuple, int]:
-    """New shard of each block (key, old shard, bytes): follows the flow, then evens out what whole blocks leave uneven."""
+def assign(blocks: list[tuple[tuple, int, int]], n_old: int, targets: list[int]) -> dict[tuple, int]:
+    """New shard of each block (key, old shard, bytes): at most a block above its target, and no more bytes moved than the flow moves."""
     n_new = len(targets)
-    supply = [0] * n_old
-    for _, old, size in blocks:
-        supply[old] += size
-    cost = cost or [[int(i != j) for j in range(n_new)] for i in range(n_old)]
-    left = min_cost_flow(supply, targets, cost)
-    by_old = defaultdict(list)
+    supply, mine = [0] * n_old, [[] for _ in range(n_old)]
     for key, old, size in blocks:
-        by_old[old].append((size, key))
+        supply[old] += size
+        mine[old].append((size, key))
+    flow = min_cost_flow(supply, targets, [[int(i != j) for j in range(n_new)] for i in range(n_old)])
     shard: dict[tuple, int] = {}
-    load = [0] * n_new
-    held: list[list[tuple[int, tuple]]] = [[] for _ in range(n_new)]
-    for old, mine in sorted(by_old.items()):
-        rest = {j: f for (i, j), f in left.items() if i == old} or {min(range(n_new), key=load.__getitem__): 0}
-        for size, key in sorted(mine, reverse=True):
-            j = max(rest, key=lambda x: (rest[x], -x))
-            rest[j] -= size
-            shard[key] = j
-            load[j] += size
-            held[j].append((size, key))
-    # Move single blocks, or swap two, between the fullest and the emptiest shard while that helps.
-    for _ in range(20 * n_new):
-        high, low = (f(range(n_new), key=lambda j: load[j] - targets[j]) for f in (max, min))
-        gap = (load[high] - targets[high]) - (load[low] - targets[low])
-        options = [(abs(gap - 2 * s), s, k, 0, None) for s, k in held[high] if 0 < s < gap]
-        small = sorted(held[low])[:64]
-        options += [(abs(gap - 2 * (s - z)), s, k, z, y) for s, k in held[high] for z, y in small if 0 < s - z < gap]
-        if not options:
-            break
-        _, s, k, z, y = min(options, key=lambda o: o[0])
-        held[high].remove((s, k))
-        held[low].append((s, k))
-        shard[k] = low
-        if y is not None:
-            held[low].remove((z, y))
-            held[high].append((z, y))
-            shard[y] = high
-        load[high] -= s - z
-        load[low] += s - z
+    room = list(targets)
+    moved: list[tuple[int, tuple]] = []
+    for old, own in enumerate(mine):
+        stays, kept, rest = flow.get((old, old), 0), 0, []
+        for size, key in sorted(own, reverse=True):
+            if kept + size <= stays:
+                shard[key] = old
+                kept += size
+            else:
+                rest.append((size, key))
+        if kept < stays:
+            size, key = rest.pop()
+            shard[key] = old
+            kept += size
+        if old < n_new:
+            room[old] -= kept
+        moved += rest
+    for size, key in sorted(moved, reverse=True):
+        j = max(range(n_new), key=lambda j: (room[j], -j))
+        shard[key] = j
+        room[j] -= size
     return shard
 
 
-def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, *, doc_id: str = "doc_id", text: str = "text", weights: list[float] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot of every row; sizes of the new shards are near weights (equal).
+@dataclass
+class Plan:
+    """docs with their places: frame holds the columns of docs and those named here."""
+
+    frame: DataFrame
+    columns: list[str]
+    size: str
+    crc: str
+    old: str
+    shard: str
+    slot: str
+
+
+def plan(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, *, doc_id: str = "doc_id", text: str = "text", weights: list[float] | None = None) -> Plan:
+    """Every row of docs with its size, checksum, old and new shard and slot; sizes of the new shards are near weights (equal).
 
     size is the UTF-8 bytes of the text (null: none) plus 8.  slot counts a shard's rows from 0 without
-    gaps.  Null and repeated ids and texts are rows like any other.
+    gaps.  Null and repeated ids and texts are rows like any other; the rows are never joined by id.
     """
+    size, crc, old, th, block, part, shard, file, slot, first, heavy = names = spare(docs.columns, "size", "crc", "old", "th", "block", "part", "shard", "file", "slot", "first", "heavy")
     raw = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        (F.octet_length(raw) + 8).cast("bigint").alias("size"),
-        F.crc32(raw.cast("binary")).alias("text_crc32"),
-        old_shard.cast("int").alias("old_shard"),
-        F.pmod(F.xxhash64(raw, F.lit("block")), F.lit(BLOCKS)).cast("int").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    base = written(base, "reshard")
-    sizes = base.groupBy("old_shard", "block").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r["size"] for r in sizes)
+    base = docs.withColumn(size, (F.octet_length(raw) + 8).cast("bigint")).withColumn(crc, F.crc32(raw.cast("binary"))).withColumn(old, old_shard.cast("int")).withColumn(th, F.xxhash64(raw, F.lit("block")))
+    own = F.xxhash64(F.col(doc_id).cast("string"), th)
+    total = base.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     weights = weights or [1.0] * n_new
     targets = [int(total * w / sum(weights)) + 1 for w in weights]
-    limit = max(1, min(targets) // 2)
-    parts = {(r["old_shard"], r["block"]): -(-r["size"] * PARTS // min(targets)) for r in sizes if r["size"] > limit and r["n"] > 1}
-    if parts:
-        key = lambda o, b: o * BLOCKS + b
-        cut = F.create_map(*[F.lit(x) for (o, b), n in parts.items() for x in (key(o, b), int(n))])
-        ways = F.coalesce(F.element_at(cut, key(F.col("old_shard"), F.col("block"))), F.lit(1))
-        base = base.withColumn("part", F.pmod(F.xxhash64("row"), ways).cast("int"))
-        sizes = base.groupBy("old_shard", "block", "part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    else:
-        base = base.withColumn("part", F.lit(0))
-    keyed = [((r["old_shard"], r["block"], r["part"] if parts else 0), r["old_shard"], r["size"], r["n"]) for r in sizes]
-    shard = assign([k[:3] for k in keyed], n_old, targets)
-    first: dict[int, int] = defaultdict(int)
-    rows = []
-    for key, _, _, n in sorted(keyed):
-        rows.append((*key, shard[key], first[shard[key]]))
-        first[shard[key]] += n
-    places = base.sparkSession.createDataFrame(rows, "old_shard int, block int, part int, shard int, first bigint")
-    within = Window.partitionBy("old_shard", "block", "part").orderBy("row")
-    # At most BLOCKS rows an old shard and PARTS a new one: broadcast whatever the corpus.
-    return base.withColumn("_n", F.row_number().over(within) - 1).join(F.broadcast(places), ["old_shard", "block", "part"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("_n")).cast("bigint").alias("slot"))
-
-
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, *, doc_id: str = "doc_id") -> list[int]:
-    """Write anew, one folder a shard, the shards that gain or lose a row; returns their numbers (ids must be unique)."""
-    moved = placed.where("shard <> old_shard")
-    both = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    changed = sorted(r["shard"] for r in both.collect())
-    rows = docs.join(placed.where(F.col("shard").isin(changed)).select(F.col(doc_id).alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")), F.col(doc_id) == F.col("_id")).drop("_id")
-    rows.repartition("_shard", F.pmod(F.xxhash64(doc_id), F.lit(16))).sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    least = min(targets)
+    # At most HEAVY of a shard; a part of its own for each PARTS-th of the target that a text beyond a target fills.
+    large = base.groupBy(old, th).agg(F.sum(size).alias("s")).where(F.col("s") * HEAVY > least).orderBy(old, th).collect()
+    spark = docs.sparkSession
+    apart = spark.createDataFrame([(r[0], r[1], BLOCKS + i, -(-r[2] * PARTS // least) if r[2] > least else 1) for i, r in enumerate(large)], f"{old} int, {th} bigint, {heavy} int, {part}_n int")
+    base = base.join(F.broadcast(apart), [old, th], "left")
+    base = base.withColumn(block, F.coalesce(heavy, F.pmod(F.col(th), F.lit(BLOCKS)).cast("int"))).withColumn(part, F.pmod(own, F.coalesce(F.col(f"{part}_n"), F.lit(1))).cast("int"))
+    sizes = base.groupBy(old, block, part).agg(F.sum(size).alias("s")).collect()
+    to = assign([(tuple(r[:3]), r[0], r[3]) for r in sizes], n_old, targets)
+    places = spark.createDataFrame([(*k, v) for k, v in to.items()], f"{old} int, {block} int, {part} int, {shard} int")
+    files = max(1, -(-max(targets) // FILE_BYTES))
+    base = base.join(F.broadcast(places), [old, block, part]).withColumn(file, F.pmod(F.xxhash64(own, F.lit("file")), F.lit(files)).cast("int"))
+    # One row for FILE_BYTES of text: what stands before each file in its shard.
+    counts = base.groupBy(shard, file).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(shard, file, (F.sum("n").over(Window.partitionBy(shard).orderBy(file)) - F.col("n")).alias(first))
+    within = Window.partitionBy(shard, file).orderBy(F.col(doc_id), th)
+    placed = base.withColumn(slot, F.row_number().over(within) - 1).join(F.broadcast(before), [shard, file])
+    placed = placed.withColumn(slot, (F.col(first) + F.col(slot)).cast("bigint"))
+    return Plan(placed.select(*docs.columns, size, crc, old, shard, slot), docs.columns, names[0], names[1], names[2], shard, slot)
+
+
+def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, *, doc_id: str = "doc_id", text: str = "text", weights: list[float] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard, slot of every row, by plan()."""
+    p = plan(docs, old_shard, n_old, n_new, doc_id=doc_id, text=text, weights=weights)
+    return p.frame.select(F.col(doc_id).alias("doc_id"), F.col(p.size).alias("size"), F.col(p.crc).alias("text_crc32"), F.col(p.old).alias("old_shard"), F.col(p.shard).alias("shard"), F.col(p.slot).alias("slot"))
+
+
+def rewrite(p: Plan, path: str) -> list[int]:
+    """Write anew, one folder a shard, the shards that gain or lose a row; returns their numbers.  Rows lie in order of slots."""
+    moved = p.frame.where(F.col(p.shard) != F.col(p.old))
+    both = moved.select(F.array(p.shard, p.old).alias("s")).select(F.explode("s").alias("s")).distinct()
+    changed = sorted(r["s"] for r in both.collect())
+    p.frame.where(F.col(p.shard).isin(changed)).select(*p.columns, p.old, p.slot, p.shard).write.option("compression", "zstd").partitionBy(p.shard).parquet(path)
     return changed
 
 
@@ -171,7 +180,13 @@ N_OLD, N_NEW = 16, 24
 
 
 def op8_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 16 shards by hash of the text to 24 of near equal bytes."""
+    """From 16 shards by hash of the text to 24 of near equal bytes: the new files, read again."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = reshard(docs, F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(N_OLD)), N_OLD, N_NEW)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    raw = F.coalesce("text", F.lit(""))
+    p = plan(docs, F.pmod(F.xxhash64(raw), F.lit(N_OLD)), N_OLD, N_NEW)
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex[:12]}"
+    changed = rewrite(p, path)
+    columns = ["doc_id", (F.octet_length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), F.col(p.shard).alias("shard"), F.col(p.slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col(p.old).alias("old_shard")]
+    # Shards that did not change keep their files.
+    rows = p.frame.where(~F.col(p.shard).isin(changed)).select(*columns)
+    return spark.read.schema(p.frame.select(*docs.columns, p.old, p.slot, p.shard).schema).parquet(path).select(*columns).unionByName(rows) if changed else rows
