@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
@@ -20,10 +22,15 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir of the session, or a local one where it is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a local master gets a temporary folder; a cluster has no folder to fall back on.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/rillet-shared"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="rillet-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
@@ -54,6 +61,9 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder; from now on Arrow batches of the session hold BATCH_ROWS rows at most, to bound workers' memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillet.llm.common import column_of, lean, read, small_batches, written
+from rillet.llm.common import column_of, lean, read, small_batches, spare, written
 
 WINDOW = 10
 #: Text bytes of the items in one automaton; more items make more blocks.
@@ -167,13 +167,16 @@ def _blocks(bench: DataFrame, item_id: str, text: str, block_bytes: int) -> Iter
         yield [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()]
 
 
-def find(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id: str = "item_id", bench_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with _words (count), _hit (runs of hit words as first, last exclusive) and _items (ids as strings, sorted).
+def find(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id: str = "item_id", bench_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, columns: tuple[str, str, str] = ("_words", "_hit", "_items")) -> DataFrame:
+    """docs with three more columns, of the names given: words (count), hits (runs of hit words as first, last exclusive) and items (ids as strings, sorted).
 
     Null texts have no words; null, empty and wordless items have no window; an item without an id
-    hits words but is not listed.  Repeated items count once by id.  Without items nothing is hit.
+    hits words but is not listed.  A column of docs with one of the names is an error.  Repeated items count once by id.  Without items nothing is hit.
     """
-    extra = [T.StructField("_words", T.LongType()), T.StructField("_hit", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType()))]
+    n_words, hit_runs, found_items = columns
+    if clash := {c.lower() for c in columns} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has {sorted(clash)} already: give other names as columns")
+    extra = [T.StructField(n_words, T.LongType()), T.StructField(hit_runs, T.ArrayType(T.IntegerType())), T.StructField(found_items, T.ArrayType(T.StringType()))]
     names = docs.columns
     out = docs
     for k, items in enumerate(_blocks(bench, item_id, bench_text, block_bytes)):
@@ -183,7 +186,7 @@ def find(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id: str
             automaton = shared.value
             for batch in small_batches(batches, text):
                 counts, hits, items_ = [], [], []
-                before = zip(column_of(batch, "_hit").to_pylist(), column_of(batch, "_items").to_pylist(), strict=True) if again else None
+                before = zip(column_of(batch, hit_runs).to_pylist(), column_of(batch, found_items).to_pylist(), strict=True) if again else None
                 for t in column_of(batch, text).to_pylist():
                     words = folded(t).split()
                     hit, found = automaton.hits(words)
@@ -196,7 +199,7 @@ def find(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id: str
                     hits.append(np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist())
                     items_.append(sorted(x for x in found if x is not None))
                 kept = [column_of(batch, n) for n in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items_, pa.list_(pa.string()))], names=[*names, "_words", "_hit", "_items"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items_, pa.list_(pa.string()))], names=[*names, *columns])
 
         if k:
             out = written(out, "decontaminate")
@@ -227,14 +230,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, text: str = "text", min_
     Rows without a hit are untouched, null texts included.
     """
     names, schema = docs.columns, docs.schema
+    *added, mark = spare(names, "words", "hit", "items", "changed")
     current = docs
     for k in count():
-        found = find(current, bench, text=text, **options)
+        found = find(current, bench, text=text, columns=tuple(added), **options)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches, text):
                 texts, keep, changed = [], [], []
-                rows = zip(*(column_of(batch, c).to_pylist() for c in (text, "_words", "_hit")), strict=True)
+                rows = zip(*(column_of(batch, c).to_pylist() for c in (text, *added[:2])), strict=True)
                 for t, n, runs in rows:
                     n_hit = sum(runs[1::2]) - sum(runs[::2])
                     long = [x for a, b in zip(runs[::2], runs[1::2], strict=True) if b - a >= min_span for x in (a, b)]
@@ -242,16 +246,16 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, text: str = "text", min_
                     changed.append(bool(long))
                     texts.append(cut_words(t, long) if long else t)
                 columns = [pa.array(texts, pa.string()) if n == text else column_of(batch, n) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(changed)], names=[*names, "_changed"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(changed)], names=[*names, mark]).filter(pa.array(keep))
 
-        done = found.mapInArrow(lean(run), T.StructType([*schema.fields, T.StructField("_changed", T.BooleanType())]))
+        done = found.mapInArrow(lean(run), T.StructType([*schema.fields, T.StructField(mark, T.BooleanType())]))
         if k == 0:
             done = written(done, "decontaminated")
-            clean = done.where("not _changed").select(*names)
+            clean = done.where(~F.col(mark)).select(*names)
         else:
             done = written(done, "decontaminated")
-            clean = clean.unionByName(done.where("not _changed").select(*names))
-        current = done.where("_changed").select(*names)
+            clean = clean.unionByName(done.where(~F.col(mark)).select(*names))
+        current = done.where(F.col(mark)).select(*names)
         if current.isEmpty():
             break
     return clean

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillet.llm.common import column_of, lean, read, small_batches, written
+from rillet.llm.common import column_of, lean, read, small_batches, spare, written
 
 SEQUENCE = 2048
 SEPARATOR = 0
@@ -278,19 +278,20 @@ def best_two_fit(sizes: np.ndarray, capacity: int = SEQUENCE) -> tuple[np.ndarra
 def place(cut: DataFrame, *, sequence: int = SEQUENCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """cut (doc_id, piece, start, length, ids_crc32) with sequence_id and offset; cut must be a written table."""
     n = max(1, -(-cut.count() // bucket_rows))
-    dealt = cut.withColumn("_bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-    fields = [f for f in dealt.schema.fields if f.name != "_bucket"]
+    (bucket,) = spare(cut.columns, "bucket")
+    dealt = cut.withColumn(bucket, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+    fields = [f for f in dealt.schema.fields if f.name != bucket]
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = best_two_fit(rows["length"].to_numpy(), sequence)
         out = rows[[f.name for f in fields]].copy()
-        out["sequence_id"] = bins + (int(rows["_bucket"].iloc[0]) << 32)
+        out["sequence_id"] = bins + (int(rows[bucket].iloc[0]) << 32)
         out["offset"] = offsets
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id bigint, offset bigint"
-    return dealt.groupBy("_bucket").applyInPandas(pack, schema)
+    return dealt.groupBy(bucket).applyInPandas(pack, schema)
 
 
 def pack(docs: DataFrame, **options) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from rillet.llm.common import column_of, components, lean, read, small_batches, written
+from rillet.llm.common import column_of, components, lean, read, small_batches, spare, written
 
 N = 23
 RADIUS = 3
@@ -244,8 +244,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """docs without all but the first (smallest id) of each near-duplicate class; rows without an id stay."""
-    drop = near_duplicates(docs, doc_id=doc_id, text=text, threshold=threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs[doc_id] == drop["_drop"], "left_anti")
+    (gone,) = spare(docs.columns, "drop")
+    drop = near_duplicates(docs, doc_id=doc_id, text=text, threshold=threshold).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(drop, docs[doc_id] == drop[gone], "left_anti")
 
 
 def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="session")
@@ -16,7 +17,11 @@ def odd_docs(spark):
         (5, " \t\n ", None, "s", 0.0, "x", 1),
         (6, "?!\x00\U0001f600 ́", "de", "s", 0.0, "x", 1),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, fp string, length int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, fp string, length int")
+    # Names that operators use for columns of their own.
+    for name in ("_score", "_hit", "_items", "_words", "_changed", "_removed", "_th", "_doc", "_drop", "_bucket", "_shard", "_slot", "_size", "_file", "th", "removed", "node", "shard"):
+        df = df.withColumn(name, F.lit(name))
+    return df
 
 
 @pytest.fixture(scope="session")
