@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from rillet.llm.common import drop_written, free_shuffles, read, spare, written
 
 MIN_WORDS = 5
-#: Bits of the map that says which documents may be asked for a line; it bounds a broadcast (2 MB), not the result.
-MAP_BITS = 1 << 24
+#: Bits of the maps that say which rows may have a partner; they bound a broadcast (2**20 rows of 64 bits), not the result.
+MAP_BITS = 1 << 26
 #: Bits of a word's hash that enter a sum; sums of 2**20 words stay within 62 bits.
 MASK = (1 << 42) - 1
 LINE = ["h1", "h2"]
@@ -121,13 +121,12 @@ def _within_one(a: Column, b: Column) -> Column:
 
 
 def _maybe(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys may be among those of wanted, by a bit map of hashes: spares the join most of the texts."""
-    spot = F.pmod(F.xxhash64(*keys, F.lit("map")), F.lit(MAP_BITS)) + 1
-    bits = wanted.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(spot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    there = F.expr("shiftright(byte, cast(bitmap_bit_position(spot) % 8 as int)) & 1") == 1
-    marked = rows.withColumn("spot", spot).withColumn("part", F.bitmap_bucket_number("spot")).join(F.broadcast(bits), "part")
-    return marked.withColumn("byte", byte).where(there).select(*rows.columns)
+    """The rows whose keys may be among those of wanted, by a bit map of hashes: the join that follows need not move the others."""
+    spot = F.pmod(F.xxhash64(*keys, F.lit("map")), F.lit(MAP_BITS))
+    bit = F.expr("shiftleft(1L, cast(_spot % 64 as int))")
+    words = wanted.select(spot.alias("_spot")).groupBy(F.expr("_spot div 64").alias("_part")).agg(F.bit_or(bit).alias("_word"))
+    marked = rows.withColumn("_spot", spot).withColumn("_part", F.expr("_spot div 64")).join(F.broadcast(words), "_part")
+    return marked.where(F.col("_word").bitwiseAND(bit) != 0).select(*rows.columns)
 
 
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
@@ -143,7 +142,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     halves = F.when(F.col("w") >= min_words, _half_keys(F.col("words"), F.col("w"))).otherwise(F.array().cast("array<bigint>"))
     keyed = every.select("doc_id", "th", "line_no", F.xxhash64(joined).alias("h1"), F.xxhash64(F.lit("line"), joined).alias("h2"), "w", halves.alias("halves"))
     seen = written(keyed, "lines").where(F.col("w") >= (1 if short_lines else min_words))
-    distinct = written(seen.groupBy(*LINE, "halves").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first")), "lines-distinct")
+    distinct = written(seen.groupBy(*LINE, "halves").agg(F.min(F.struct("doc_id", "th", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "lines-distinct")
     free_shuffles(spark)
     halves = distinct.select(F.posexplode("halves").alias("k", "half"), *LINE)
     own = F.when(F.col("k") < 2, F.col("h1"))
@@ -153,15 +152,15 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     bit = F.col("k").cast("int")
     same = F.when((bit < 2) & (F.col("_a") != F.col("_b")), F.pow(F.lit(2), bit).cast("int")).otherwise(0)
     cross = F.when(F.col("_k") > 1, F.pow(F.lit(2), bit + 2).cast("int")).otherwise(0)
-    asked = halves.join(shared, "half").select(*LINE, same.bitwiseOR(cross).alias("bits")).where("bits <> 0")
-    partnered = asked.groupBy(*LINE).agg(F.bit_or("bits").alias("bits"))
-    chosen = written(distinct.join(partnered, LINE).select(*LINE, "first", "bits"), "lines-partnered")
+    asked = _maybe(halves, shared, ["half"]).join(shared, "half").select(*LINE, same.bitwiseOR(cross).alias("bits")).where("bits <> 0")
+    partnered = written(asked.groupBy(*LINE).agg(F.bit_or("bits").alias("bits")), "lines-asked")
+    chosen = written(_maybe(distinct, partnered, LINE).join(partnered, LINE).select(*LINE, "first", "bits"), "lines-partnered")
     free_shuffles(spark)
 
     # The words of those lines, from the document of their first occurrence.
     wanted = chosen.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.struct(F.col("first.line_no").alias("line_no"), *LINE, "bits").alias("at")).groupBy("doc_id", "th").agg(F.collect_list("at").alias("at"))
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    found = _maybe(source, wanted, ["doc_id", "th"]).join(wanted, ["doc_id", "th"])
+    found = _maybe(source, chosen.select("first.doc_id", "first.th"), ["doc_id", "th"]).join(wanted, ["doc_id", "th"])
     lines = found.withColumn("text", F.split("text", "\n")).select("doc_id", "th", "text", F.explode("at").alias("at"))
     lines = lines.select("at.h1", "at.h2", "at.bits", F.struct("doc_id", "th", F.col("at.line_no").alias("line_no")).alias("first"), _words(F.get("text", "at.line_no")).alias("words"))
     lines = written(lines.withColumn("w", F.size("words")), "lines-words")
@@ -170,18 +169,20 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     variants = written(_variants(lines), "lines-variants")
     earliest = variants.groupBy("key").agg(F.min(F.struct("first", *LINE)).alias("to"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "to")
     earliest = written(earliest, "lines-earliest")
-    pairs = variants.join(earliest, "key").where("first > to.first").select(*LINE, F.col("to.h1").alias("e1"), F.col("to.h2").alias("e2")).distinct()
+    pairs = _maybe(variants, earliest, ["key"]).join(earliest, "key").where("first > to.first").select(*LINE, F.col("to.h1").alias("e1"), F.col("to.h2").alias("e2")).distinct()
     other = lines.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("other"))
-    near = pairs.join(lines.select(*LINE, "words"), LINE).join(other, ["e1", "e2"]).where(_within_one(F.col("words"), F.col("other"))).select(*LINE).distinct().withColumn("near", F.lit(True))
+    near = pairs.join(lines.select(*LINE, "first", "words"), LINE).join(other, ["e1", "e2"]).where(_within_one(F.col("words"), F.col("other"))).select(*LINE, "first").distinct()
     near = written(near, "lines-near")
     drop_written(variants)
     free_shuffles(spark)
 
-    fate = written(distinct.select(*LINE, "first").join(near, LINE, "left"), "lines-fate")
+    # Lines that occur once and are near no other stay; the rest have a fate.
+    fate = distinct.where("n > 1").select(*LINE, "first", F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
+    fate = written(fate.groupBy(*LINE).agg(F.min("first").alias("first"), F.max("near").alias("near")), "lines-fate")
     drop_written(distinct)
     free_shuffles(spark)
-    judged = seen.select("doc_id", "th", "line_no", *LINE).join(fate, LINE)
-    out = judged.where(F.col("near").isNotNull() | (F.col("first") != F.struct("doc_id", "th", "line_no")))
+    judged = _maybe(seen.select("doc_id", "th", "line_no", *LINE), fate, LINE).join(fate, LINE)
+    out = judged.where(F.col("near") | (F.col("first") != F.struct("doc_id", "th", "line_no")))
     return out.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
