@@ -113,10 +113,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(column)).to_pylist()
-
-
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
