@@ -39,6 +39,14 @@ PAIRS = 4096
 HELD = 2_000_000
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the unsigned 64-bit hashes."""
+    votes = np.zeros(64, dtype=np.int64)
+    for a in range(0, len(h), 4096):
+        votes += np.unpackbits(h[a : a + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, *, shingle: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of the lower-cased (A-Z) words; no words give 0."""
     if not text:
@@ -53,10 +61,7 @@ def fingerprint(text: str | None, *, shingle: int = 3, seed: int = 42) -> int:
     first = np.concatenate([[0], ends[:-shingle]]).tolist()
     last = (ends[shingle - 1 :] - 1).tolist()
     h = np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(first, last, strict=True)], dtype="<u8")
-    votes = np.zeros(64, dtype=np.int64)
-    for a in range(0, len(h), 4096):
-        votes += np.unpackbits(h[a : a + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", column: str = "fp") -> DataFrame:

@@ -50,6 +50,29 @@ def test_near_duplicate_stage_finds_edited_copies(spark):
     assert len(kept) < 0.6 * len(rows)
 
 
+def test_classes_of_dense_and_short_texts_are_exact(spark):
+    r, words = prose(25, 300)
+    texts = []
+    for size in (6, 9, 14, 40, 60):
+        base = words(size)
+        for _ in range(60):  # Copies of one text are about as near to each other as the bound.
+            w = list(base)
+            for _ in range(r.randint(0, max(1, size // 20))):
+                at = r.randrange(len(w) + 1)
+                w[at : at + r.randint(0, 1)] = words(r.randint(0, 2))
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (t.split() for t in texts)]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.component_id for x in shingles.classes(docs).orderBy("doc_id").collect()] == root
+    assert 20 < len(set(root)) < len(texts) - 50
+
+
 def test_two_shared_passages_with_other_words_between(spark):
     _, words = prose(22)
     rows, want = [], {}
