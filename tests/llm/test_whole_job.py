@@ -143,3 +143,40 @@ def test_labels_beyond_127():
     np.fill_diagonal(scores, 0.0)
     ids = np.repeat(np.arange(200), 3)
     assert langid.viterbi(scores, ids, np.array([300, 300]), 1.0).tolist() == ids.tolist()
+
+
+def test_passages_meet_past_the_hubs_of_frequent_seeds(spark):
+    """Every seed of a pair is frequent and each of its hubs is a text that holds only 30 words of the passage."""
+    r, words = prose(31, 20_000)
+    rows, pairs = [], {}
+    for _ in range(6):
+        p = words(66)
+        # Parts come first by key or not; ten of each make every seed frequent.
+        for i in range(10):
+            for part in (p[:30], p[18:48], p[36:]):
+                rows.append((len(rows), " ".join(words(40) + part + words(40))))
+        pairs |= {len(rows): len(rows) + 1, len(rows) + 1: len(rows)}
+        q = [w if i % 16 != 12 else f"edit{r.randrange(10**6)}" for i, w in enumerate(p)]
+        rows += [(len(rows) + i, " ".join(words(25) + text + words(25))) for i, text in enumerate((p, q))]
+    got = {x.doc_id: x.match_ids for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.transform("passages", lambda p: p["match_id"]).alias("match_ids")).collect()}
+    assert all(m in got[d] for d, m in pairs.items())
+    assert {d for d, m in got.items() if m} == set(pairs)
+
+
+def test_pairs_that_grow_are_those_of_all_pairs():
+    r = random.Random(32)
+    group = np.sort(np.array([r.randrange(3) for _ in range(90)]))
+    root = np.array([r.randrange(12) for _ in range(90)])
+    base = [[r.randrange(1, 9) for _ in range(24)] for _ in range(4)]
+    words = np.array([[w if r.random() < 0.85 else r.randrange(9) for w in base[r.randrange(4)]] for _ in range(90)], dtype="<u2")
+    got = {(min(a, b), max(a, b)) for x, y in passages.grown_pairs(group, root, words, 20) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    want = set()
+    for i in range(90):
+        for j in range(i + 1, 90):
+            if group[i] == group[j] and root[i] != root[j]:
+                a, b = words[i].tolist(), words[j].tolist()
+                k = next((k for k in range(24) if a[k] != b[k]), 24)
+                two = lambda w: {(w[k + p], w[k + p + 1]) for p in range(5) if k + p + 1 < 24 and w[k + p] and w[k + p + 1]}  # noqa: B023, E731
+                if k >= 20 or two(a) & two(b):
+                    want.add((i, j))
+    assert got == want and len(want) > 100
