@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,23 @@ def test_pairs_that_grow_are_those_of_all_pairs():
                 if k >= 20 or two(a) & two(b):
                     want.add((i, j))
     assert got == want and len(want) > 100
+
+
+def test_words_laid_end_to_end_and_chains_grown_at_once_are_those_of_one_at_a_time():
+    texts = ["", "a B  c\n", None, " \x00 é ÀB\x1f x ", "tail", "head　x\x0b\x0cy", " ", "x" * 600_000 + " y", "y " * 200_000]
+    for column in (pa.array(texts), pa.array(texts).slice(1, 5), pa.array(texts[:1])):
+        laid = passages.Laid(column, passages.Grams())
+        words = [w for t in column.to_pylist() for w in passages.words_of(t)]
+        assert laid.sizes.tolist() == [len(passages.words_of(t)) for t in column.to_pylist()]
+        assert [laid.data[i:j].tobytes() for i, j in zip(laid.first, laid.last, strict=True)] == words
+        assert len(set(zip(words, laid.hash.tolist(), strict=True))) == len(set(words)) == len(set(laid.hash.tolist()))
+    rng = np.random.default_rng(33)
+    for _ in range(40):
+        a = rng.integers(0, 8, 150).astype(np.uint64)
+        b = np.delete(np.where(rng.random(150) < 0.2, np.uint64(9), a), rng.integers(0, 150, 3))
+        p = rng.integers(0, len(b), 30)
+        box = (np.maximum(p - 60, 0), np.minimum(p + 60, len(a)), np.maximum(p - 50, 0), np.minimum(p + 64, len(b)))
+        for step in (1, -1):
+            got = passages.grown(a, b, p, p, step, box)
+            want = [passages._grow(a.tolist(), b.tolist(), int(p[i]), int(p[i]), step, tuple(int(x[i]) for x in box)) for i in range(30)]
+            assert np.stack(got, axis=1).tolist() == [list(w) for w in want]
